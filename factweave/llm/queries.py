@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, mixing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_secret_scan": secrets.op3_secret_scan,
+        "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
@@ -18,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mixing": mixing.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
     }
