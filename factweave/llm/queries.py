@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mixing, quality, secrets, urls
+from . import chat, decontaminate, line_dedup, mixing, quality, secrets, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secrets.op3_secret_scan,
         "op4_mixing": mixing.op4_mixing,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": urls.op7_url_filter,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
