@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mixing, quality, secrets, toxicity, urls
+from . import chat, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": line_dedup.op5_line_dedup,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_url_filter": urls.op7_url_filter,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
     }
 
