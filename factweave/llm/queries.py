@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, toxicity, urls
+import corpus_pipeline
+
+from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secrets, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_url_filter": urls.op7_url_filter,
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
+        "op10_personal_data": pii.op10_personal_data,
+        "pipeline": corpus_pipeline.run,
     }
 
 
