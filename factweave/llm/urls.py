@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, staged, table
 
 #: The rules (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -48,32 +48,36 @@ def shape(segment: Column) -> Column:
     return F.when(kind.isNotNull(), F.concat(kind, ending)).otherwise(segment)
 
 
-def templates(urls: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, steps: int = STEPS) -> DataFrame:
-    """``urls`` (host, path, bad, ...) with ``t1`` to ``t<depth>``, the branch of each level; ``bad`` is null if unlabelled.
+def segments(path: str, depth: int) -> list[Column]:
+    """The shapes of the first ``depth`` segments, '' where there is none, and whether more follow."""
+    parts = F.split(F.substr(F.col(path), F.lit(2)), "/", -1)
+    # The path is split once: as the only element of an array it is bound to a lambda's variable.
+    shapes = F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(0), F.lit(depth - 1)), lambda i: F.coalesce(shape(F.get(p, i)), F.lit(""))))[0]
+    return [shapes.alias("shapes"), F.when(F.size(parts) > depth, "{more}").otherwise("").alias("rest")]
 
-    Level by level: the children of a node are counted, nodes with more than ``max_children`` get one wildcard child,
-    and children with equal rounded profiles (share of each kind of grandchild, share of bad urls) become one branch,
-    named by the profile. Branches without labels and branches with labels never merge.
+
+def templates(shapes: DataFrame, depth: int = DEPTH, max_children: int = MAX_CHILDREN, steps: int = STEPS) -> DataFrame:
+    """``shapes`` (host, s0.., n, seen, bad) with ``t1`` to ``t<depth>``, the branch of each level.
+
+    ``shapes`` has one row for each different path of shapes, with its urls, its labelled and its bad ones. Level by
+    level: the children of a node are counted, nodes with more than ``max_children`` get one wildcard child, and
+    children with equal rounded profiles (share of variable and of missing grandchildren, share of bad urls) become
+    one branch, named by the profile. Branches without labels and branches with labels never merge.
     """
-    parts = F.split(F.substr("path", F.lit(2)), "/", -1)
-    rows = urls.withColumn("parts", parts)
-    for d in range(depth):
-        rows = rows.withColumn(f"s{d}", F.when(F.size("parts") > d, shape(F.get("parts", F.lit(d)))).otherwise(""))
-    rows = rows.withColumn(f"s{depth}", F.when(F.size("parts") > depth, "{more}").otherwise("")).drop("parts")
-    parent = ["host"]
+    rows, parent = shapes, ["host"]
     for d in range(depth):
-        node = rows.groupBy(*parent, f"s{d}", f"s{d + 1}").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("seen"), F.sum(F.col("bad").cast("long")).alias("bad"))
-        kinds = {"numbers": F.col(f"s{d + 1}").startswith("{"), "ends": F.col(f"s{d + 1}") == ""}
-        child = node.groupBy(*parent, f"s{d}").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("bad").alias("bad"), *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in kinds.items()])
+        kinds = {"variable": F.col(f"s{d + 1}").startswith("{"), "ends": F.col(f"s{d + 1}") == ""}
+        child = rows.groupBy(*parent, f"s{d}").agg(*[F.sum(c).alias(c) for c in ("n", "seen", "bad")], *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in kinds.items()])
         many = child.groupBy(*parent).agg((F.count(F.lit(1)) > max_children).alias("many")).withColumnsRenamed({p: f"m_{p}" for p in parent})
-        child = child.join(many, [F.col(p) == F.col(f"m_{p}") for p in parent]).drop(*[f"m_{p}" for p in parent])
+        child = child.join(many, [F.col(p) == F.col(f"m_{p}") for p in parent])
         share = [F.round(F.col(k) / F.col("n") * steps).cast("int").cast("string") for k in kinds]
         label = F.when(F.col("seen") == 0, "?").otherwise(F.round(F.col("bad") / F.greatest(F.col("seen"), F.lit(1)) * steps).cast("int").cast("string"))
         branch = F.when(F.col("many"), "*").when(F.col(f"s{d}") == "", "").otherwise(F.concat_ws(":", *share, label))
         child = child.select(*[F.col(p).alias(f"c_{p}") for p in parent], F.col(f"s{d}").alias("c_s"), branch.alias(f"t{d + 1}"))
         rows = rows.join(child, [*[F.col(p) == F.col(f"c_{p}") for p in parent], F.col(f"s{d}") == F.col("c_s")]).drop("c_s", *[f"c_{p}" for p in parent])
+        rows = staged(rows, "tree")
         parent.append(f"t{d + 1}")
-    return rows.drop(*[f"s{d}" for d in range(depth + 1)])
+    return rows
 
 
 def url_filter(pages: DataFrame, rules=RULES, depth: int = DEPTH, prior: float = PRIOR, reject: float = REJECT) -> DataFrame:
@@ -88,21 +92,24 @@ def url_filter(pages: DataFrame, rules=RULES, depth: int = DEPTH, prior: float =
     empty table gives an empty table. Other columns are left alone.
     """
     host, path = split_url(F.col("url"))
-    rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("said", said)
-    # Equal (host, path) share all that follows; a hot host's urls are few once numbers are one shape.
-    urls = rows.withColumn("bad", F.when(F.col("said").isNotNull(), F.col("said") == "block"))
-    tree = templates(urls, depth)
-    levels = [f"t{d + 1}" for d in range(depth)]
-    tree = tree.withColumn("template", F.concat_ws("/", *levels))
-    leaf = tree.groupBy("host", "template").agg(F.count("bad").alias("seen"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    rows = staged(rows.select("page_id", "host", "path", rule.alias("rule"), said.alias("said"), *segments("path", depth)), "urls")
+    names = [f"s{d}" for d in range(depth)]
+    rows = rows.select("page_id", "host", "path", "rule", "said", *[F.col("shapes")[d].alias(n) for d, n in enumerate(names)], F.col("rest").alias(f"s{depth}"))
+    key = ["host", *names, f"s{depth}"]
+    blocked = F.col("said") == "block"
+    shapes = staged(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.count("said").alias("seen"), F.count_if(blocked).alias("bad")), "shapes")
+    tree = templates(shapes, depth).withColumn("template", F.concat_ws("/", *[f"t{d + 1}" for d in range(depth)]))
+    leaf = tree.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     hosts = leaf.groupBy("host").agg(F.sum("seen").alias("h_seen"), F.sum("bad").alias("h_bad")).withColumnRenamed("host", "h_host")
     whole = hosts.agg(((F.coalesce(F.sum("h_bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("h_seen"), F.lit(0)) + 2)).alias("all_bad"))
     leaf = leaf.join(hosts, F.col("host") == F.col("h_host")).join(F.broadcast(whole))  # one row
     h = (F.col("h_bad") + prior * F.col("all_bad")) / (F.col("h_seen") + prior)
     leaf = leaf.select(F.col("host").alias("l_host"), F.col("template").alias("l_template"), F.round((F.col("bad") + prior * h) / (F.col("seen") + prior), 6).alias("purity"))
-    out = tree.join(leaf, (F.col("host") == F.col("l_host")) & (F.col("template") == F.col("l_template")))
+    judged = tree.join(leaf, (F.col("host") == F.col("l_host")) & (F.col("template") == F.col("l_template")))
+    judged = staged(judged.select(*[F.col(c).alias(f"j_{c}") for c in key], "template", "purity"), "judged")
+    out = rows.join(judged, [F.col(c) == F.col(f"j_{c}") for c in key])
     verdict = F.coalesce(F.col("said"), F.when(F.col("purity") >= reject, "block").otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
