@@ -22,11 +22,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Bounds of the labelled sample that is fitted on: rows of each class, in the order of md5(doc_id), and their length.
-TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 2000, 4000, 50_000
+TOXIC_ROWS, ORDINARY_ROWS, ROW_CHARS = 1500, 3000, 20_000
 #: Bytes of a window; compression level; bytes of the background; gains in bytes that count as small, middle, large.
 WINDOW, LEVEL, BACKGROUND, GAINS = 64, 6, 8192, (2, 4, 6)
 #: What makes a unit typical: rows that hold it, standard deviations above chance, share of rows that are toxic.
 LEAST_ROWS, LEAST_Z, LEAST_SHARE = 5, 6.0, 0.8
+#: A toxic text that is missed costs as much as so many clean ones that are rejected.
+MISS_COST = 2.0
 
 _SPLIT = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r.,!?;:\"'()[]{}#*$%&|<>"})
 
@@ -55,16 +57,16 @@ def _units(word: str) -> set[str]:
     return {f" {word[:k]}" for k in range(4, min(len(word), 9))} | ({f" {word} "} if len(word) > 2 else set())
 
 
-def _rows_with(texts: list[bytes]) -> Counter:
-    """Rows with each unit; a row counts only if it holds the unit between neighbours that no earlier row has, so that near copies count once."""
+def _spread(texts: list[bytes], units: set[str]) -> Counter:
+    """Rows with each of ``units``; a row counts only if it holds the unit between neighbours that no earlier row has, so that near copies count once."""
     seen: dict[str, set] = defaultdict(set)
     count: Counter = Counter()
     for text in texts:
         words = text.decode("utf-8", "replace").split()
         new: set[str] = set()
         for i, w in enumerate(words):
-            around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
-            for u in _units(w):
+            for u in _units(w) & units:
+                around = hash((words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""))
                 if u not in new and around not in seen[u]:
                     seen[u].add(around)
                     new.add(u)
@@ -72,18 +74,31 @@ def _rows_with(texts: list[bytes]) -> Counter:
     return count
 
 
-def typical_units(toxic: Counter, ordinary: Counter, n_toxic: int, n_ordinary: int) -> list[str]:
+def _rows(text: bytes) -> set[str]:
+    return set().union(*map(_units, set(text.decode("utf-8", "replace").split())))
+
+
+def typical_units(toxic: list[bytes], ordinary: list[bytes]) -> list[str]:
     """The units typical of toxic rows, the strongest last; of units that hold one another, the longest one of about the same count."""
-    p = n_toxic / (n_toxic + n_ordinary)
+    count: Counter = Counter()
+    for text in toxic:
+        count.update(_rows(text))
+    known = {u for u, n in count.items() if n >= LEAST_ROWS}
+    other: Counter = Counter()
+    for text in ordinary:
+        other.update(_rows(text) & known)
+    known = {u for u in known if count[u] > LEAST_SHARE * (count[u] + other[u])}
+    count, other = _spread(toxic, known), _spread(ordinary, known)
+    p = len(toxic) / (len(toxic) + len(ordinary))
     found = {}
-    for u, n in toxic.items():
-        rows = n + ordinary[u]
+    for u in known:
+        n, rows = count[u], count[u] + other[u]
         z = (n - rows * p) / math.sqrt(rows * p * (1 - p))
         if n >= LEAST_ROWS and z > LEAST_Z and n > LEAST_SHARE * rows:
             found[u] = z
     kept: list[str] = []
     for u in sorted(found, key=lambda u: (len(u), u)):
-        longer = any(v != u and v.startswith(u) and toxic[v] >= 0.6 * toxic[u] for v in found)
+        longer = any(v != u and v.startswith(u) and count[v] >= 0.6 * count[u] for v in found)
         if not longer and not any(u.startswith(v) for v in kept):
             kept.append(u)
     return sorted(kept, key=lambda u: (found[u], u))
@@ -121,15 +136,17 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_pair"}
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Fit on texts of both classes: the dictionaries first, then the weights and thresholds."""
+def train(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model:
+    """Fit on texts of both classes: the dictionaries first, then the weights and thresholds.
+
+    ``odds`` are those of a toxic row among all labelled rows, by default those of the texts given.
+    """
     toxic, ordinary = list(dict.fromkeys(toxic)), list(dict.fromkeys(ordinary))
     prior = (len(toxic) + 1) / (len(toxic) + len(ordinary) + 2)
     if len(toxic) < LEAST_ROWS or len(ordinary) < LEAST_ROWS:
         return Model(prior=min(prior, 0.49))
     t, o = [cleaned(x) for x in toxic], [cleaned(x) for x in ordinary]
-    in_t, in_o = _rows_with(t), _rows_with(o)
-    units = typical_units(in_t, in_o, len(t), len(o))
+    units = typical_units(t, o)
     samples = [w for x in o for w in windows(x, 256)[::2]]
     try:
         background = zstandard.train_dictionary(BACKGROUND, samples, level=3).as_bytes()
@@ -149,6 +166,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         w += np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + np.eye(len(w)), a.T @ (y - p) - w)
     raw = w / std
     raw[0] -= float((w / std * mean).sum())
+    if odds is not None:  # the sample is richer in toxic rows than the table
+        raw[0] += min(0.0, math.log(odds * MISS_COST) - math.log(len(toxic) / len(ordinary)))
     model.weights = tuple(float(v) for v in raw)
     return model
 
@@ -161,13 +180,21 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train on a bounded sample of the labelled rows that are not held out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("l_id"), "toxic")
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.char_length("text") <= ROW_CHARS)
-    rows = rows.join(known, F.col("doc_id") == F.col("l_id"))
-
-    def sample(label: int, n: int) -> list[str]:
-        return [r["text"] for r in rows.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text").limit(n).select("text").collect()]
-
-    return train(sample(1, TOXIC_ROWS), sample(0, ORDINARY_ROWS))
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.char_length("text") <= ROW_CHARS)
+    ids = docs.select("doc_id").join(known, F.col("doc_id") == F.col("l_id"))
+
+    def sample(label: int, n: int) -> list[int]:
+        rows = ids.where(F.col("toxic") == label).select("doc_id", F.md5(F.col("doc_id").cast("string")).alias("rank")).distinct()
+        return [r["doc_id"] for r in rows.orderBy("rank", "doc_id").limit(n).collect()]
+
+    # Only ids are sorted; then the sample's texts, which the bounds limit, are read.
+    picked = [(i, label) for label, n in ((1, TOXIC_ROWS), (0, ORDINARY_ROWS)) for i in sample(label, n)]
+    chosen = docs.sparkSession.createDataFrame(picked, "s_id long, label int")
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("s_id")).select("s_id", "label", "text").collect()
+    rows.sort(key=lambda r: (r["s_id"], r["text"]))
+    n = known.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count(F.lit(1)).alias("all")).first()
+    odds = (n["toxic"] + 1) / (n["all"] - n["toxic"] + 1)
+    return train([r["text"] for r in rows if r["label"] == 1], [r["text"] for r in rows if r["label"] == 0], odds)
 
 
 def scorer(model: Model):
