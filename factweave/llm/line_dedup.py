@@ -108,7 +108,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("kept"),
     )
-    return rows.select("row.*", dedup.alias("_dedup"))
+    return rows.select("row", dedup.alias("_dedup")).select("row.*", "_dedup")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,7 +86,8 @@ def mixed(docs: DataFrame, weights: dict[str, float], other: float, block: int =
     rows = rows.withColumn("quota", quota).withColumn("round", F.expr("block div quota")).withColumn("turn", F.col("block") % F.col("quota"))
     plan = schedule(spark, [a for _, a in shares]).withColumnsRenamed({"grp": "p_grp", "slot": "p_slot"})  # `period` rows
     rows = rows.join(F.broadcast(plan), (F.col("grp") == F.col("p_grp")) & (F.col("turn") == F.col("nth")))
-    return rows.select("row.*", F.struct("grp", "block", (F.col("round") * period + F.col("p_slot")).alias("slot"), "pos").alias("_mix"))
+    mix = F.struct("grp", "block", (F.col("round") * period + F.col("p_slot")).alias("slot"), "pos")
+    return rows.select("row", mix.alias("_mix")).select("row.*", "_mix")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
