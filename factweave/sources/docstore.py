@@ -101,7 +101,7 @@ class DocStore:
         """What is not there needs no delete, and makes no change."""
         check_entity(entity)
         check_id(doc_id)
-        if not self.current(entity).where(F.col("doc_id") == doc_id).isEmpty():
+        if not self.latest(entity).where(F.col("doc_id") == doc_id).isEmpty():
             self._append([(entity, doc_id, "del", None)])
 
     def current(self, entity: str | None = None) -> DataFrame:
@@ -116,15 +116,21 @@ class DocStore:
         rows = rows.withColumn("version", puts).withColumn("created_at", born).withColumn("nth", F.row_number().over(last))
         return rows.where("nth = 1 and op = 'put'").select("entity_id", "doc_id", "doc", "version", "created_at", F.col("at_nanos").alias("updated_at"))
 
+    def latest(self, entity: str) -> DataFrame:
+        """(doc_id, doc) of the tenant's live documents: one aggregation, which keeps only the last change of a key."""
+        rows = self.log().where(F.col("entity_id") == check_entity(entity))
+        last = rows.groupBy("doc_id").agg(F.max_by(F.struct("op", "doc"), "seq").alias("last"))
+        return last.where("last.op = 'put'").select("doc_id", "last.doc")
+
     def get(self, entity: str, doc_id: str) -> bytes:
-        row = self.current(entity).where(F.col("doc_id") == check_id(doc_id)).first()
+        row = self.latest(entity).where(F.col("doc_id") == check_id(doc_id)).first()
         if row is None:
             raise NotFound(f"{entity}/{doc_id}")
         return bytes(row["doc"])
 
     def scan(self, entity: str, each: Callable[[str, bytes], bool] | None = None) -> DataFrame:
         """The tenant's (doc_id, doc); ``each`` is called with them one by one until it returns False."""
-        rows = self.current(entity).select("doc_id", "doc")
+        rows = self.latest(entity)
         if each is not None:
             for r in rows.toLocalIterator():
                 if each(r["doc_id"], bytes(r["doc"])) is False:
@@ -132,4 +138,4 @@ class DocStore:
         return rows
 
     def facts(self, entity: str) -> DocTable:
-        return DocTable(self.current(entity).select("doc_id", "doc"), entity)
+        return DocTable(self.latest(entity), entity)

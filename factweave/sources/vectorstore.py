@@ -59,6 +59,17 @@ class VectorStore:
     def _scope(self, entity: str, scope: str):
         return self.scopes(entity).where(F.col("scope") == scope).first()
 
+    def dim(self, entity: str, scope: str) -> int:
+        known = self._scope(entity, scope)
+        if known is None:
+            raise ScopeNotFound(scope)
+        return known["dim"]
+
+    def size(self, entity: str, scope: str) -> int:
+        """Live vectors of a scope, 0 of an unknown one."""
+        known = self._scope(entity, scope)
+        return known["n"] if known else 0
+
     def insert(self, entity: str, scope: str, id: str, vec: list[float], metric: str = "cosine") -> None:
         self.insert_many(entity, scope, {id: vec}, metric)
 

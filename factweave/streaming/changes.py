@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..sources.docstore import SCHEMA
+
 EVENTS = "kind string, entity_id string, doc_id string, old binary, new binary, seq long, at_nanos long"
 
 
@@ -69,17 +71,10 @@ def filtered(events: DataFrame, entity: str = "", prefix: str = "") -> DataFrame
     return events.where(F.col("doc_id").startswith(prefix)) if prefix else events
 
 
-def read_log(spark, path: str, from_now: bool = False) -> DataFrame:
-    """A DocStore's changelog as a stream of its batches; ``from_now`` leaves out what is there already."""
-    from ..sources.docstore import SCHEMA
-
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """A DocStore's changelog as a stream of its batches."""
     reader = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-    rows = reader.parquet(f"{path.rstrip('/')}/log")
-    if from_now:
-        import time
-
-        rows = rows.where(F.col("at_nanos") > time.time_ns())
-    return rows
+    return reader.parquet(f"{path.rstrip('/')}/log")
 
 
 def subscribe(events: DataFrame, callback: Callable[[list], None], checkpoint: str, entity: str = "", prefix: str = "") -> StreamingQuery:
