@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +60,15 @@ def lower_ascii(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array."""
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+
+
+class Covered:
+    """Spans (start, kind, end), sorted, that are asked for overlaps in logarithmic time."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self._starts = [a for a, _, _ in spans]
+        self._ends = list(accumulate((b for _, _, b in spans), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        n = bisect_left(self._starts, end)
+        return n > 0 and self._ends[n - 1] > start

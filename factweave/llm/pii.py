@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Covered, table
 
 # The base patterns. What stands before a number cannot be a digit that the same pattern would take.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -93,9 +94,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def extra_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of the other kinds that no base span overlaps."""
-    out = []
+    out, covered = [], Covered(base)
     for k, pattern in enumerate(EXTRA.values(), len(BASE)):
-        out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+        out += [(m.start(), k, m.end()) for m in pattern.finditer(text) if not covered.overlaps(m.start(), m.end())]
     return sorted(out)
 
 
@@ -129,7 +130,7 @@ def votes(text: str, start: int, kind: int, end: int, starts: list[int]) -> tupl
     words = re.findall(r"[a-z]+", text[max(0, start - CONTEXT) : start].lower())
     context = 1 if any(w.startswith(h) for w in words for h in HINTS[name]) else -1 if any(w in AGAINST for w in words) else 0
     made_up = -1 if len(digits) >= 6 and len(set(digits)) <= 2 else 0
-    i = int(np.searchsorted(starts, start))
+    i = bisect_left(starts, start)
     beside = 1 if any(0 < abs(x - start) <= BESIDE for x in starts[max(0, i - 1) : i + 2]) else 0
     return 1 if apart else -1, check, known, context, made_up, beside
 

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import Covered, table
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -83,14 +83,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def secret_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The base spans, and all spans: candidates of high entropy that no base span overlaps are added."""
     base = base_spans(text)
-    extra = []
+    extra, covered = [], Covered(base)
     for m in CANDIDATE.finditer(text):
         kind = char_class(m[0])
         if kind is None:
             continue
         for a, b in entropy_spans(m[0], THRESHOLDS[kind]):
             a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, _, y in base):
+            if not covered.overlaps(a, b):
                 extra.append((a, 3, b))
     return base, sorted(base + extra)
 
