@@ -33,5 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality.OP2_SQL,
         "op4_mixing": mixing.OP4_SQL,
         "op5_line_dedup": line_dedup.OP5_SQL,
+        "op7_url_filter": urls.OP7_SQL,
+        "op8_ngram_join": ngram_join.OP8_SQL,
         "op9_decontaminate": decontaminate.OP9_SQL,
     }

@@ -116,3 +116,40 @@ def url_filter(pages: DataFrame, rules=RULES, depth: int = DEPTH, prior: float =
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def _sql(depth: int = DEPTH) -> str:
+    """The same in SQL: rules, shapes, levels of the tree, purity."""
+    fits = [(r, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", v) for r, h, p, v in sorted(((h + p, h, p, v) for h, p, v in RULES), key=lambda r: -len(r[0]))]
+    rule, said = (" ".join(["CASE", *(f"WHEN {cond} THEN '{r if what == 'rule' else v}'" for r, cond, v in fits), "END"]) for what in ("rule", "said"))
+    body, ending = "regexp_replace(x, '\\.[A-Za-z]{2,5}$', '')", "regexp_extract(x, '(\\.[A-Za-z]{2,5})$', 1)"
+    kinds = (("{n}", "^[0-9]+$"), ("{date}", "^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), ("{hex}", "^[0-9a-fA-F-]{16,}$"), ("{id}", "[0-9]{3,}"))
+    shaped = " ".join(["CASE", *(f"WHEN regexp_matches({body}, '{p}') THEN '{k}' || {ending}" for k, p in kinds), "ELSE x END"])
+    s = [f"s{d}" for d in range(depth + 1)]
+    ctes = [
+        "u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"r AS (SELECT *, {rule} AS rule, {said} AS said, string_split(substr(path, 2), '/') AS parts FROM h)",
+        f"p AS (SELECT *, list_transform(parts, lambda x: {shaped}) AS sh FROM r)",
+        "g AS (SELECT *, " + ", ".join(f"coalesce(sh[{d + 1}], '') AS s{d}" for d in range(depth)) + f", CASE WHEN len(parts) > {depth} THEN '{{more}}' ELSE '' END AS s{depth} FROM p)",
+        f"l0 AS (SELECT host, {', '.join(s)}, count(*) AS n, count(said) AS seen, count(*) FILTER (WHERE said = 'block') AS bad FROM g GROUP BY ALL)",
+    ]
+    parent = ["host"]
+    for d in range(depth):
+        key = ", ".join([*parent, f"s{d}"])
+        ctes.append(f"c{d} AS (SELECT {key}, sum(n) AS n, sum(seen) AS seen, sum(bad) AS bad, coalesce(sum(n) FILTER (WHERE starts_with(s{d + 1}, '{{')), 0) AS v, coalesce(sum(n) FILTER (WHERE s{d + 1} = ''), 0) AS e FROM l{d} GROUP BY ALL)")
+        share = f"round(v / n * {STEPS})::INT::VARCHAR || ':' || round(e / n * {STEPS})::INT::VARCHAR || ':' || CASE WHEN seen = 0 THEN '?' ELSE round(bad / seen * {STEPS})::INT::VARCHAR END"
+        ctes.append(f"b{d} AS (SELECT {key}, CASE WHEN count(*) OVER (PARTITION BY {', '.join(parent)}) > {MAX_CHILDREN} THEN '*' WHEN s{d} = '' THEN '' ELSE {share} END AS t{d + 1} FROM c{d})")
+        ctes.append(f"l{d + 1} AS (SELECT l{d}.*, t{d + 1} FROM l{d} JOIN b{d} USING ({key}))")
+        parent.append(f"t{d + 1}")
+    ctes += [
+        f"t AS (SELECT *, concat_ws('/', {', '.join(parent[1:])}) AS template FROM l{depth})",
+        "f AS (SELECT host, template, sum(seen) AS seen, sum(bad) AS bad FROM t GROUP BY ALL)",
+        "o AS (SELECT host, sum(seen) AS h_seen, sum(bad) AS h_bad FROM f GROUP BY ALL)",
+        "a AS (SELECT (coalesce(sum(h_bad), 0) + 1) / (coalesce(sum(h_seen), 0) + 2) AS all_bad FROM o)",
+        f"j AS (SELECT host, template, round((bad + {PRIOR} * ((h_bad + {PRIOR} * all_bad) / (h_seen + {PRIOR}))) / (seen + {PRIOR}), 6) AS purity FROM f JOIN o USING (host), a)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, template, purity FROM g JOIN t USING (host, {', '.join(s)}) JOIN j USING (host, template)"
+
+
+OP7_SQL = _sql()
