@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from factweave.llm.common import staged, table
+from factweave.llm.common import drop_folders, folders_made, staged, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -24,7 +24,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), folders_made()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_folders(spark, before, keep_last=True)  # all but the stage's result, once that is written
     return docs

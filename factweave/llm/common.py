@@ -18,6 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
+_MADE: list[str] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,7 +36,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         base = f"file://{tempfile.mkdtemp(prefix='factweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop_folders(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the shared folders that this process has made after the first ``since``; frames that read them end with that."""
+    paths = _MADE[since : len(_MADE) - keep_last]
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _MADE.remove(path)
+
+
+def folders_made() -> int:
+    return len(_MADE)
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
