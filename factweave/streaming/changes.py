@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from ..functions.extract import extract
 from ..sources.docstore import SCHEMA
 
 EVENTS = "kind string, entity_id string, doc_id string, old binary, new binary, seq long, at_nanos long"
@@ -86,3 +88,21 @@ def subscribe(events: DataFrame, callback: Callable[[list], None], checkpoint: s
             callback(rows)
 
     return filtered(events, entity, prefix).writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).outputMode("append").start()
+
+
+def term_changes(events: DataFrame) -> DataFrame:
+    """(kind, entity_id, doc_id, seq, added, removed): what each event changes in the index of terms."""
+    old, new = (F.coalesce(_terms(F.col(c)), F.array().cast("array<string>")) for c in ("old", "new"))
+    rows = events.select("kind", "entity_id", "doc_id", "seq", old.alias("was"), new.alias("now"))
+    return rows.select("kind", "entity_id", "doc_id", "seq", F.array_except("now", "was").alias("added"), F.array_except("was", "now").alias("removed"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _terms(docs: pd.Series) -> pd.Series:
+    def of(doc):
+        try:
+            return extract(doc)[0]
+        except ValueError:
+            return []
+
+    return docs.map(of, na_action="ignore")

@@ -136,3 +136,18 @@ def test_change_events_as_batch_and_stream(spark, tmp_path):
         assert as_rows(got)[3:] == [("assert", "ticket-2", None, b"x")]
     finally:
         q.stop()
+
+
+def test_term_changes(spark, tmp_path):
+    s = DocStore(spark, str(tmp_path / "s"))
+    s.put("t", "a", b'{"status":"active","km":5}')
+    s.put("t", "a", b'{"status":"sold","km":5}')
+    s.put("t", "b", b"not json")
+    s.delete("t", "a")
+    rows = [(r["kind"], sorted(r["added"]), sorted(r["removed"])) for r in changes.term_changes(changes.change_events(s.log())).orderBy("seq").collect()]
+    assert rows == [
+        ("assert", ["5", "active", "km:5", "status:active"], []),
+        ("change", ["sold", "status:sold"], ["active", "status:active"]),
+        ("assert", [], []),
+        ("retract", [], ["5", "km:5", "sold", "status:sold"]),
+    ]
