@@ -11,8 +11,9 @@ from .common import staged
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: long); label is the smallest node of its component.
 
-    Each step groups by node with partial aggregation and writes its edges to the shared folder; steps follow until
-    every edge leads straight to a label. Loops and repeated edges do no harm; null ends are dropped.
+    Each step groups by node with partial aggregation and writes its edges and the least neighbours to the shared
+    folder, so that the joins read both sides as they are and can split a node with very many edges; steps follow
+    until every edge leads straight to a label. Loops and repeated edges do no harm; null ends are dropped.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = staged(e, "edges")
@@ -23,9 +24,10 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = now["n"], now["h"]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = staged(both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
         large = both.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        first = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        large = staged(large, "edges")
+        first = staged(large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m")), "least")
         small = large.join(first, F.col("u") == F.col("x"))
         e = staged(small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

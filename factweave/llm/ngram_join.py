@@ -31,8 +31,8 @@ from .graph import components
 QUERY_K, QUERY_PERCENT, K, PERCENT = 3, 90, 5, 80
 #: Counters of the sketch (a power of two); classes of a key that make it crowded; sets and shingles of a block.
 SKETCH, CROWD, BLOCK_SETS, BLOCK_SHINGLES = 2**22, 32, 256, 400_000
-#: Sets of a leaf, children of a node.
-LEAF, FANOUT = 16, 8
+#: Sets of a leaf, children of a node; the most hot keys that are broadcast.
+LEAF, FANOUT, BROADCAST_KEYS = 16, 8, 1_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _CHUNK = 2**16
@@ -224,6 +224,31 @@ def _profiles(docs: DataFrame, k: int, percent: int, width: int) -> DataFrame:
     return docs.mapInArrow(profile, "doc_id long, cid long, n long, keys array<long>, bits binary")
 
 
+def _hot_keys(reps: DataFrame, crowd: int) -> DataFrame:
+    """(hot_key): the keys that more than ``crowd`` of the classes in one Arrow batch share.
+
+    Each is crowded indeed; a key that no batch shows has a small share of the classes, and ``_meetings`` judges it.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            if (n > crowd).any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[n > crowd], pa.int64())], names=["hot_key"])
+
+    return staged(reps.select("keys").mapInArrow(find, "hot_key long").distinct(), "hot")
+
+
+def _entries(reps: DataFrame, crowd: int, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """(key, n, cid, hot): the keys of each class, dealt by key, but those of a hot key by class too, and sorted."""
+    hot = _hot_keys(reps, crowd)
+    if hot.count() <= broadcast_keys:  # beyond it, both sides are shuffled
+        hot = F.broadcast(hot)
+    rows = reps.select(F.explode("keys").alias("key"), "n", "cid").join(hot, F.col("key") == F.col("hot_key"), "left")
+    rows = rows.select("key", "n", "cid", F.col("hot_key").isNotNull().alias("hot"))
+    return rows.repartition("key", F.when(F.col("hot"), F.col("cid"))).sortWithinPartitions("key", "n", "cid")
+
+
 def _meetings(percent: int, crowd: int):
     """Over rows sorted by key and size: pairs of classes that share a key (kind 0), or key and class of crowded keys (kind 1)."""
 
@@ -239,10 +264,15 @@ def _meetings(percent: int, crowd: int):
                         yield 0, min(a, b), max(a, b)
 
         for batch in batches:
-            ks, ns, cs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "cid"))
+            ks, ns, cs, hot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "cid", "hot"))
+            if hot.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(hot.sum(), np.int32)), pa.array(ks[hot]), pa.array(cs[hot])], names=["kind", "a", "b"])
+                ks, ns, cs = ks[~hot], ns[~hot], cs[~hot]
+            if not len(ks):
+                continue
             new = np.r_[True, ks[1:] != ks[:-1]]
             alone = new & np.r_[new[1:], False]  # the last row's key may go on
-            if len(ks) and key is not None:
+            if key is not None:
                 alone[0] = alone[0] and ks[0] != key
             out = []
             for i in np.flatnonzero(~alone):
@@ -354,8 +384,7 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, widt
     profiles = staged(_profiles(docs, k, percent, width), "profiles")
     known = profiles.where("cid is not null")
     reps = staged(known.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.min("doc_id").alias("rep")), "classes")
-    entries = reps.select(F.explode("keys").alias("key"), "n", "cid")
-    met = staged(entries.repartition("key").sortWithinPartitions("key", "n", "cid").mapInArrow(_meetings(percent, crowd), "kind int, a long, b long"), "meetings")
+    met = staged(_entries(reps, crowd).mapInArrow(_meetings(percent, crowd), "kind int, a long, b long"), "meetings")
 
     # Few classes to a key: pairs that their sizes and bitmaps allow.
     pairs = met.where("kind = 0").select("a", "b").distinct()
@@ -365,7 +394,7 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, widt
 
     # Many classes to a key: clusters.
     crowds = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"))
-    first = crowds.groupBy(F.col("key").alias("k")).agg(F.min("cid").alias("least"))
+    first = staged(crowds.groupBy(F.col("key").alias("k")).agg(F.min("cid").alias("least")), "least")  # the join can then split a hot key
     clusters = components(crowds.join(first, F.col("key") == F.col("k")).select(F.col("cid").alias("a"), F.col("least").alias("b")))
     crowded = staged(clusters.join(reps.select("cid", "n"), F.col("node") == F.col("cid")).select("cid", "n", "label"), "clusters")
 
@@ -406,9 +435,13 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    keep = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """Of each group of near-duplicates the document with the smallest doc_id.
+
+    Cases are those of ``similarity_classes``. Rows that share a doc_id, null among them, stay together: all of them
+    if one of them stays. Extra columns stay, whatever their names.
+    """
+    keep = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct().hint("shuffle_hash")
+    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
 
 OP8_SQL = f"""

@@ -1,7 +1,7 @@
 import pytest
 
 #: A column of each name that an operator could take for its own.
-CLASHING = ("row", "n", "id", "key", "cid", "h1", "slot", "pos", "block", "grp", "host", "words", "lines", "bucket", "rank_key", "label", "gone", "version", "size", "item", "doc")
+CLASHING = ("row", "n", "id", "key", "cid", "h1", "slot", "pos", "block", "grp", "host", "words", "lines", "bucket", "rank_key", "label", "gone", "version", "size", "item", "doc", "_keep", "_leak", "hot", "side")
 
 
 @pytest.fixture()
