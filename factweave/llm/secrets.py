@@ -2,7 +2,9 @@
 
 A candidate is a maximal run of characters that keys and tokens are made of. A window slides over it, and its entropy
 is kept by incremental counts: moving on by a character changes two counts. Each character class has its own
-threshold; windows above it are joined to spans. An allow-list suppresses what looks random but is no secret.
+threshold; windows above it are joined to spans. An allow-list suppresses what looks random but is no secret. Strings of
+letters, with separators or not, have a threshold like the rest, and a window of them must also have few of the letter
+pairs that words are made of.
 """
 
 from __future__ import annotations
@@ -26,22 +28,40 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % WINDOW)
 #: Bits a character by class, for windows of 20: random strings of a class nearly always have more, words and numbers less.
-THRESHOLDS = {"hex": 2.9, "caps": 3.4, "mixed": 3.6}
-#: Candidates that are no secrets: version-4-like ids, paths, snake or kebab words, dates, runs of few characters.
+#: Letters are told from words by their pairs, not by this.
+THRESHOLDS = {"hex": 2.9, "caps": 3.4, "mixed": 3.6, "letters": 3.2}
+#: Candidates that are no secrets: version-4-like ids, dates, runs of few characters.
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"/?([A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}/?"),
     re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[0-9A-Za-z-]*"),
-    re.compile(r"[A-Za-z]*"),
     re.compile(r"[0-9=/+_-]*"),
 )
+#: Letters, and letters between separators with a number at the end: words, paths, snake or kebab words, or keys.
+LETTERS = re.compile(r"[A-Za-z/+_=-]+|/?([A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}/?")
 _HEX, _CAPS = re.compile(r"[0-9a-f]+|[0-9A-F]+"), re.compile(r"[A-Z0-9]+")
+#: Pairs of letters that words of English, German, French and Spanish are made of, out of 676.
+PAIRS = frozenset(
+    (
+        "ab ac ad af ag ai ak al am an ap ar as at au av aw ay ba be bi bl bo br bu by ca cc ce ch ci ck cl co cr ct cu "
+        "da de di do dr ds du ea ec ed ee ef eg ei el em en eo ep eq er es et ev ew ex ey fa fe ff fi fl fo fr ft fu ga "
+        "ge gh gi gl gn go gr gu ha he hi ho hr ht hu ia ib ic id ie if ig il im in io ip ir is it iv iz je ju ke ki la "
+        "ld le lf li ll lo ls lt lu lv ly ma mb me mi mm mo mp ms mu my na nc nd ne nf ng ni nl nn no ns nt nu ny oa ob "
+        "oc od of og oi ok ol om on oo op or os ot ou ov ow pa pe ph pi pl po pp pr ps pt pu qu ra rc rd re rg ri rk rl "
+        "rm rn ro rr rs rt ru rv ry sa sc se sh si sl sm so sp ss st su sy ta te th ti tl to tr ts tt tu tw ty ua ub uc "
+        "ud ue ug ui ul um un up ur us ut va ve vi vo wa we wh wi wn wo xp ye yo ys ze"
+    ).split()
+)
+#: Of the 19 pairs in a window of letters so many at most are usual ones; runs of so few letters are words.
+USUAL_PAIRS, SHORT_RUN = 11, 3
+_RUN = re.compile(r"[A-Za-z]{%d,}" % (SHORT_RUN + 1))
 
 
 def char_class(s: str) -> str | None:
     """The class whose threshold holds for ``s``, None where no string of its kind is a secret."""
     if any(p.fullmatch(s) for p in ALLOW):
         return None
+    if LETTERS.fullmatch(s):
+        return "letters"
     if _HEX.fullmatch(s):
         return "hex"
     if _CAPS.fullmatch(s):
@@ -49,12 +69,25 @@ def char_class(s: str) -> str | None:
     return "mixed" if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) else None
 
 
-def entropy_spans(s: str, threshold: float, window: int = WINDOW) -> list[tuple[int, int]]:
-    """The joined windows of ``s`` whose entropy is at least ``threshold`` bits a character."""
-    part = [0.0] + [n * math.log2(n) for n in range(1, window + 1)]
+def unusual_pairs(s: str) -> list[int]:
+    """1 for each character of ``s`` that no usual pair joins with the one before it, 0 at the start of a run of letters and outside."""
+    out = [0] * len(s)
+    for m in _RUN.finditer(s):
+        run = m[0].lower()
+        for i in range(1, len(run)):
+            out[m.start() + i] = int(run[i - 1 : i + 1] not in PAIRS)
+    return out
+
+
+def entropy_spans(s: str, threshold: float, window: int = WINDOW, odd: list[int] | None = None, least_odd: int = 0) -> list[tuple[int, int]]:
+    """The joined windows of ``s`` whose entropy is at least ``threshold`` bits a character.
+
+    With ``odd``, one number for each character, those of a window's characters but the first must add up to ``least_odd``.
+    """
+    part = [0.0] + [n * math.log2(n) for n in range(1, window + 2)]  # a character enters before one leaves
     least = (math.log2(window) - threshold) * window + 1e-9  # the sum of n log2 n must not exceed it
     counts: dict[str, int] = {}
-    total, spans = 0.0, []
+    total, n_odd, spans = 0.0, 0, []
     for i, c in enumerate(s):
         n = counts.get(c, 0)
         total += part[n + 1] - part[n]
@@ -63,7 +96,9 @@ def entropy_spans(s: str, threshold: float, window: int = WINDOW) -> list[tuple[
             n = counts[s[i - window]]
             total += part[n - 1] - part[n]
             counts[s[i - window]] = n - 1
-        if i >= window - 1 and total <= least:
+        if odd:
+            n_odd += odd[i] - (odd[i - window + 1] if i >= window - 1 else 0)
+        if i >= window - 1 and total <= least and n_odd >= least_odd:
             if spans and spans[-1][1] >= i - window + 1:
                 spans[-1] = (spans[-1][0], i + 1)
             else:
@@ -88,7 +123,8 @@ def secret_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         kind = char_class(m[0])
         if kind is None:
             continue
-        for a, b in entropy_spans(m[0], THRESHOLDS[kind]):
+        letters = kind == "letters"
+        for a, b in entropy_spans(m[0], THRESHOLDS[kind], WINDOW, unusual_pairs(m[0]) if letters else None, WINDOW - 1 - USUAL_PAIRS if letters else 0):
             a, b = a + m.start(), b + m.start()
             if not covered.overlaps(a, b):
                 extra.append((a, 3, b))

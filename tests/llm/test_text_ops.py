@@ -162,6 +162,23 @@ def test_entropy_finds_keys_and_leaves_words():
     assert secrets.secret_spans("z" * 100_000)[1] == []
 
 
+def test_entropy_finds_keys_of_letters_and_leaves_words():
+    for key in ("kJqvQzXLmPwxWbTnRcYdGhFs", "qzxvkjwpltmrbnghdfcsyq", "JBWYQDPKXZHPKVXQTRMJLC", "kJqvQzXLm_PwxWbTnRcYdGhFs", "kJqv/QzXLmPwxWbTnRcYd12"):
+        assert secrets.secret_spans(f"see {key} there")[1] == [(4, 3, 4 + len(key))], key
+    words = ("donaudampfschifffahrtsgesellschaft", "getElementsByTagNameAndAttribute", "/usr/local/share/texts/letters2024/", "well-known-state-of-the-art-words", "interchangeable_configuration_values", "anticonstitucionalmente", "abcabcabcabcabcabcabcabc", "/usr/lib/src/cfg/xml/bin")
+    assert [w for w in words if secrets.secret_spans(w)[1]] == []
+    rnd = random.Random(8)
+    for letters, least in ((string.ascii_letters, 0.93), (string.ascii_lowercase, 0.93), (string.ascii_letters + "-_", 0.85)):
+        keys = ["".join(rnd.choices(letters, k=20)) for _ in range(1000)]
+        assert sum(bool(secrets.secret_spans(k)[1]) for k in keys) > least * len(keys)
+
+
+def test_scan_of_keys_of_letters(docs):
+    got = secrets.secret_scan(docs([(1, "key kJqvQzXLmPwxWbTnRcYdGhFs"), (2, "an interchangeablecharacteristic")])).collect()
+    assert {r["doc_id"]: r["spans"] for r in got} == {1: "entropy:4:28", 2: ""}
+    assert secrets.secret_spans("a1" + "z" * 40)[1] == []
+
+
 # personal data
 
 
