@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -31,11 +32,16 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
 
+# Letters of all scripts: any, upper-case ones, and a name's word; a letter may be followed by combining marks.
+_LETTER, _MARKS = r"[^\W\d_]", r"[\u0300-\u036f]*"
+_CAPITAL = "[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper() and c.isalpha() or c.istitle()) + "]"
+_WORD = f"{_CAPITAL}{_MARKS}(?:{_LETTER}{_MARKS})+"
+
 EXTRA = {
     "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "ssn": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "tel": re.compile(r"(?<![0-9+.-])(?:\(0?[0-9]{2,4}\)\x20?|0[0-9]{2,4}[\x20/-])[0-9]{3,4}[\x20-]?[0-9]{3,5}(?![0-9.-])"),
-    "name": re.compile(r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20[A-Z][a-z]+(?:\x20[A-Z][a-z]+)?"),
+    "name": re.compile(rf"(?<!{_LETTER})(?<![\u0300-\u036f])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20{_WORD}(?:\x20{_WORD})?"),
 }
 KINDS = (*BASE, *EXTRA)
 

@@ -231,6 +231,17 @@ def test_pii_adds_and_keeps(docs, odd):
     assert pii.personal_data(docs(odd).limit(0)).count() == 0
 
 
+def test_names_of_all_letters(docs):
+    names = ("Frau Müller", "Sra Peña", "Mme Élodie Béranger", "Herr Özdemir", "Sr. Íñigo Núñez", "Mr John Smith", "Dr Мария Иванова", "Frau Mu\u0308ller", "Herr E\u0301tienne")
+    for name in names:
+        text = f"signed by {name}, 2 pages"
+        assert [text[a:b] for a, _, b in pii.extra_spans(text, [])] == [name]
+    assert [pii.extra_spans(t, []) for t in ("Frau müller", "Frau 漢字", "éMr Smith", "Sra _Peña", "Dr ²ab")] == [[]] * 5
+    rows = [(i, f"dear {names[i % 5]}, write to mail u{i}@example.com") for i in range(40)]
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs(rows)).collect()}
+    assert all(f"name:5:{5 + len(names[i % 5])}" in got[i].split(",") for i in got)
+
+
 # decontamination
 
 
