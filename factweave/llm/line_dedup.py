@@ -117,8 +117,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the lines that are left; a document keeps its row even if no line is left."""
+    """The documents with the lines that are left.
+
+    A document goes if lines were taken from it and no word is left, as all it said is in larger documents; one that
+    had no word before keeps its row.
+    """
     out = line_dedup(docs)
+    out = out.where((F.col("_dedup.n_dropped") == 0) | (F.btrim("_dedup.kept", F.lit(BLANKS)) != ""))
     swap = {"text": F.col("_dedup.kept"), "n_chars": F.char_length("_dedup.kept").cast("long")}
     return out.select(*[swap[c].alias(c) if c in swap else F.col(f"`{c}`") for c in docs.columns])
 

@@ -93,6 +93,14 @@ def test_line_dedup_stage(spark, docs):
     assert out.columns == df.columns and out.count() == df.count() and out.where("n_chars <> char_length(text)").count() == 0
 
 
+def test_line_dedup_stage_drops_what_it_empties(spark, docs, odd):
+    line, other = prose(random.Random(1), 12), prose(random.Random(2), 12)
+    rows = [(100 + i, f"{line}\n\n {other.upper()}\t\n") for i in range(5)] + [(200, f"{line}\nand more"), (201, "x\n\n")]
+    got = sorted(((r["doc_id"], r["text"]) for r in line_dedup.stage(spark, docs(rows + odd), "").collect()), key=str)
+    want = [(104, f"\n {other.upper()}\t\n"), (200, f"{line}\nand more"), (201, "x\n\n")]
+    assert got == sorted(want + [(i, t or "") for i, t in odd], key=str)
+
+
 # quality
 
 
