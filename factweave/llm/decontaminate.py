@@ -3,8 +3,8 @@
 An item of q distinct shingles lies in a document if the document has at least ``share`` * q of them. At most
 q - ceil(share * q) may be missing, so of the item's smallest q - ceil(share * q) + 1 shingle hashes, its MinHash
 sketch, one at least is in every document that contains it. Items are partitioned by size in powers of two, and the
-sketch of a partition is as long as its largest item needs: the search loses nothing. What it finds is verified by
-counting the item's distinct shingles in the document.
+sketch of a partition is as long as its largest item needs: the search loses nothing. All partitions' sketches probe the
+documents in one join. What it finds is verified by counting the item's distinct shingles in the document.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table, text_of, words_of
+from .common import lower_ascii, staged, table, text_of, words_of
 
-#: Words of a shingle; the share of an item's shingles that makes a leak; the most shingle rows that are broadcast.
+#: Words of a shingle; the share of an item's shingles that makes a leak; the most rows that are broadcast.
 K, SHARE, BROADCAST_ROWS = 5, 0.8, 1_000_000
 
 
@@ -52,29 +52,53 @@ def item_shingles(items: DataFrame, k: int = K, share: float = SHARE) -> DataFra
     return rows.select("item", "width", "size", "need", "h", (F.col("nth") < F.col("sketch")).alias("in_sketch"))
 
 
+def _hits(text: DataFrame, parts: DataFrame, widths: list[int]) -> DataFrame:
+    """(doc, and the columns of ``parts``) for each shingle of ``text`` (doc, w) that is one of ``parts``."""
+    out = None
+    for n in widths:
+        rows = text.select("doc", F.explode(shingles(F.col("w"), n)).alias("s"))
+        hits = rows.join(parts.where(F.col("width") == n), F.col("s") == F.col("h")).drop("s", "width")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _small(df: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
+    return F.broadcast(df) if n <= broadcast_rows else df
+
+
+def candidates(text: DataFrame, parts: DataFrame, widths: list[int], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc, item): the pairs in which ``text`` (doc, w) holds a sketch hash of the item, of all size partitions; staged.
+
+    ``parts`` are ``item_shingles``; no other of their hashes is looked up.
+    """
+    sketch = parts.where("in_sketch").select("item", "width", "h")
+    return staged(_hits(text, _small(sketch, sketch.count(), broadcast_rows), widths).select("doc", "item").distinct(), "candidates")
+
+
 def leaks(docs: DataFrame, items: DataFrame, k: int = K, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared): each document and each item that lies in it.
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are left alone. Shingles are of ``k``
-    words, A-Z lower-cased. The items' shingles are counted, and broadcast only if they are ``broadcast_rows`` at
-    most; beyond that both sides are shuffled.
+    words, A-Z lower-cased. The documents are probed with the items' sketches; only documents that are found are
+    shingled again, and the shingles of the pairs found are counted. Sketches, items' shingles and the ids of the
+    documents found are counted, and broadcast only if they are ``broadcast_rows`` at most; beyond that both sides
+    are shuffled.
 
     Cases: null and empty texts hold nothing and lie in nothing. Rows that share a doc_id are one document, whose
     shingles are those of all its rows; a null doc_id is a document like any other, and so are items. Repeated rows
     add nothing. An empty table gives no rows.
     """
     parts = item_shingles(items, k, share)
-    widths = parts.groupBy("width").count().collect()  # at most k rows
-    if sum(r["count"] for r in widths) <= broadcast_rows:
-        parts = F.broadcast(parts)
+    counts = parts.groupBy("width").count().collect()  # at most k rows
+    widths = sorted({r["width"] for r in counts}) or [k]
     text = docs.select(F.col("doc_id").alias("doc"), words_of(lower_ascii(text_of())).alias("w"))
-    out = None
-    for n in sorted({r["width"] for r in widths}) or [k]:
-        rows = text.select("doc", F.explode(shingles(F.col("w"), n)).alias("s"))
-        hits = rows.join(parts.where(F.col("width") == n), F.col("s") == F.col("h")).select("doc", "item", "size", "need", "h", "in_sketch")
-        out = hits if out is None else out.unionByName(hits)
-    found = out.groupBy("doc", "item", "size", "need").agg(F.max("in_sketch").alias("found"), F.count_distinct("h").alias("shared"))
-    found = found.where(F.col("found") & (F.col("shared") >= F.col("need")))
+    pairs = candidates(text, parts, widths, broadcast_rows)
+    ids = staged(pairs.select(F.col("doc").alias("c_doc")).distinct(), "found")
+    text = text.join(_small(ids, ids.count(), broadcast_rows), F.col("doc").eqNullSafe(F.col("c_doc")), "left_semi")
+    hits = _hits(text, _small(parts.drop("in_sketch"), sum(r["count"] for r in counts), broadcast_rows), widths)
+    pairs = pairs.withColumnsRenamed({"doc": "c_doc", "item": "c_item"})
+    hits = hits.join(pairs, F.col("doc").eqNullSafe(F.col("c_doc")) & F.col("item").eqNullSafe(F.col("c_item")), "left_semi")
+    found = hits.groupBy("doc", "item", "size", "need").agg(F.count_distinct("h").alias("shared")).where(F.col("shared") >= F.col("need"))
     return found.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("size").cast("long").alias("n_item"), F.col("shared").cast("long").alias("n_shared"))
 
 

@@ -291,6 +291,22 @@ def test_decontamination(spark, docs):
     assert kept.count() == 0 and decontaminate.leaks(docs(rows), bench.limit(0)).count() == 0
 
 
+def test_search_looks_up_sketches_only(spark, docs):
+    rnd = random.Random(12)
+    items = [(i, prose(rnd, 40)) for i in range(20)]
+    rows = [(i, f"{prose(rnd, 30)} {' '.join(items[i % 20][1].split()[i // 20 :][:n])}") for i in range(200) for n in (40 if i % 4 else 8,)]
+    parts = decontaminate.item_shingles(spark.createDataFrame(items, "item_id long, text string"))
+    text = docs(rows).select("doc_id", decontaminate.words_of(decontaminate.text_of()).alias("w")).withColumnRenamed("doc_id", "doc")
+    sketches = {(r["item"], r["h"]) for r in parts.where("in_sketch").collect()}
+    held = {(r["doc"], r["h"]) for r in text.selectExpr("doc", "w").select("doc", decontaminate.F.explode(decontaminate.shingles(decontaminate.F.col("w"), 5)).alias("h")).collect()}
+    want = {(d, i) for d, h in held for i, s in sketches if s == h}
+    touched = {(d, r["item"]) for r in parts.collect() for d in range(200) if (d, r["h"]) in held}
+    for most in (1_000_000, 0):
+        got = decontaminate.candidates(text, parts, [5], most).collect()
+        assert {(r["doc"], r["item"]) for r in got} == want and len(got) == len(want)
+    assert leaks_by_hand(rows, items) <= want < touched
+
+
 def test_decontamination_odd(spark, docs, odd):
     bench = spark.createDataFrame([(1, "A b C d e f g"), (1, "A b C d e f g"), (2, "é ü ß 漢字 é")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs(odd, True), bench).collect()), key=str)
