@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -6,6 +7,7 @@ from fractions import Fraction
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 
 from factweave.llm import mixing, ngram_join, toxicity, urls
 from factweave.llm.graph import components
@@ -196,6 +198,41 @@ def test_toxicity(spark, docs, odd):
     assert len(held) > 80 and np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.93
 
 
+def score_by_hand(model, text):
+    """Every word of the text in every frame, compressed anew; no memory, no look-ahead for pieces."""
+    packers = []
+    for own in (model.toxic, model.ordinary):
+        d = zstandard.ZstdCompressionDict(model.background + own, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        packers.append(zstandard.ZstdCompressor(level=19, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
+    frames = [model.background[len(model.background) - 32 * (i + 1) : len(model.background) - 32 * i] for i in range(3)]
+    words = toxicity.cleaned(text).split()
+    gains = []
+    for w in words:
+        window = b" " + w + b" "
+        shares = any(window[i : i + 4] in model.toxic for i in range(len(window) - 3))
+        gains.append(sum(len(packers[1].compress(f[:16] + window + f)) - len(packers[0].compress(f[:16] + window + f)) for f in frames) / 3 if shares else 0.0)
+    best = sorted({w: g for w, g in zip(words, gains)}.values(), reverse=True)
+    top = [*(g for g in best if g >= 1), 0, 0, 0][:3]
+    x = [1.0, *top, *(sum(g >= least for g in gains) ** 0.5 for least in (1, 2, 3, 4)), math.log(1 + len(words))]
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(x, model.weights))))))
+
+
+def test_scores_as_by_brute_force():
+    rows, labels = toxic_corpus(random.Random(4), 300)
+    model = toxicity.train([t for (_, t), (_, y) in zip(rows, labels) if y], [t for (_, t), (_, y) in zip(rows, labels) if not y])
+    texts = [t for _, t in rows[:40]] + [None, "", "x", "blockhead", "a nincompoop! " * 3000]
+    for t in texts:
+        assert abs(model.score(t) - score_by_hand(model, t)) < 1e-9
+    assert model.score("word " * 20000 + "you blockhead, you nincompoop, you grumblebutt") > model.score("word " * 20003)  # whole texts, not beginnings
+
+
+def test_contradicting_labels_teach_nothing(spark, docs):
+    rows, labels = toxic_corpus(random.Random(5), 120)
+    both = [(i, 1 - y) for i, y in labels]
+    got = toxicity.toxicity(docs(rows), spark.createDataFrame(labels + both, "doc_id long, toxic int")).collect()
+    assert len(got) == 120 and len({r["score"] for r in got}) == 1 and {r["predicted"] for r in got} == {0}
+
+
 def test_toxicity_without_labels(spark, docs, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.toxicity(docs(odd), none).collect()
