@@ -1,40 +1,44 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame functions only).
 
-Weights become whole quotas of a period of ``period`` slots. The i-th block of a source with quota a is released at
-slot floor((i-1) * period / a) and due before slot ceil(i * period / a). In each slot the released block with the
-earliest deadline runs. Quotas fill the period, so earliest-deadline-first meets all deadlines: after t slots a
-source has had t * a / period blocks, give or take less than one. Such a schedule repeats after each period; one
-period is computed, and its size does not depend on the data.
+A weight is a fraction w of all slots. The i-th block of a source is released at slot floor((i-1) / w) and due before
+slot ceil(i / w). In each slot the released block with the earliest deadline runs. The weights add up to one, so
+earliest-deadline-first meets all deadlines: after t slots a source has had w * t blocks, give or take less than one.
+Such a schedule repeats as soon as every w * t is whole; that one period is computed, and its size depends on the
+weights' denominators, not on the data.
 """
 
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import free_names, table
 
-#: Documents in a block, slots in a period, rows that a bucket of a source should not exceed by much.
-BLOCK, PERIOD, BUCKET_ROWS = 64, 1000, 4096
+#: Documents in a block, most slots in a period, rows that a bucket of a source should not exceed by much.
+BLOCK, LONGEST, BUCKET_ROWS = 64, 10_000, 4096
 #: Production weights; all other sources, null among them, share OTHER.
 WEIGHTS, OTHER = {"src0": 0.25, "src1": 0.10, "src2": 0.10, "src3": 0.05, "src4": 0.05, "src5": 0.05, "src6": 0.05, "src7": 0.05}, 0.30
 
 
-def quotas(weights: dict[str, float], other: float, period: int = PERIOD) -> list[tuple[str | None, int]]:
-    """Whole quotas that sum to ``period``, by largest remainder, 1 at least; the group None is of all other sources."""
+def quotas(weights: dict[str, float], other: float) -> list[tuple[str | None, int]]:
+    """Each group's blocks in one period, exactly in proportion to the weights; the group None is of all other sources.
+
+    Weights are taken as the decimals that they are written as, and divided by their sum. If their common period has
+    more than ``LONGEST`` slots the weights are refused: rounding them would make the mix drift away from its target.
+    """
     groups = [*sorted(weights.items()), (None, other)]
-    if any(not w > 0 for _, w in groups) or period < len(groups):
-        raise ValueError("weights must be positive, and the period must have a slot for each of them")
-    whole = sum(w for _, w in groups)
-    exact = [1 + w / whole * (period - len(groups)) for _, w in groups]
-    least = [math.floor(x) for x in exact]
-    order = sorted(range(len(groups)), key=lambda i: (least[i] - exact[i], i))
-    for i in order[: period - sum(least)]:
-        least[i] += 1
-    return [(name, a) for (name, _), a in zip(groups, least)]
+    if any(not 0 < w < math.inf for _, w in groups):
+        raise ValueError("weights must be positive")
+    exact = [Fraction(repr(w) if isinstance(w, float) else w) for _, w in groups]
+    shares = [w / sum(exact) for w in exact]
+    period = math.lcm(*(w.denominator for w in shares))
+    if period > LONGEST:
+        raise ValueError(f"the weights repeat only after {period} slots; round them so that it is {LONGEST} at most")
+    return [(name, int(w * period)) for (name, _), w in zip(groups, shares)]
 
 
 def schedule(spark: SparkSession, quota: list[int]) -> DataFrame:
@@ -51,28 +55,33 @@ def schedule(spark: SparkSession, quota: list[int]) -> DataFrame:
     return runs.select("grp", nth.cast("long").alias("nth"), F.col("slot").cast("long").alias("slot"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float], other: float, block: int = BLOCK, period: int = PERIOD, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float], other: float, block: int = BLOCK, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """All columns of ``docs`` (doc_id, source, ...), and ``_mix`` = struct(grp, block, slot, pos).
 
     Ordering the rows by (slot, pos) interleaves the sources. Documents of a source stand in the order of
     md5(doc_id), so each block is a fixed random sample, and ``block`` documents make a block; the last one may be
-    shorter. As long as no source has ended, each has had its share of the blocks, with less than one block of
-    deviation from its quota. A source that has ended leaves its slots empty: no row is dropped or repeated, and
+    shorter. As long as no source has ended, each has had its weight's share of the blocks, with less than one block of
+    deviation, however long the schedule. A source that has ended leaves its slots empty: no row is dropped or repeated, and
     the others keep their proportions.
 
     A row's rank in its source is its rank in one of many buckets, cut from the order by ranges of md5, and the
     number of rows in the buckets before: no source is gathered in one task.
 
-    Cases: sources without a weight, null among them, are one group with weight ``other``. A null doc_id is ordered
-    as ''. Rows of one doc_id and source are ties: each gets a place of its own, which of them gets which is open.
+    Cases: sources without a weight, null among them, are one group with weight ``other``. Rows with a null doc_id are
+    ordered by a hash of all their columns. Rows of one doc_id and source are ties: each gets a place of its own, which of
+    them gets which is open.
     An empty table gives an empty table. Extra columns stay; only ``_mix`` is reserved.
     """
     spark = docs.sparkSession
-    shares = quotas(weights, other, period)
+    shares = quotas(weights, other)
+    period = sum(a for _, a in shares)
     group = F.lit(len(shares) - 1)
     for i, (name, _) in enumerate(shares[:-1]):
         group = F.when(F.col("source") == name, i).otherwise(group)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(group, F.lit(len(shares) - 1)).alias("grp"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("rank_key"))
+    # rows without an id are spread by what else they hold, as there may be many
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rank_key = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.md5(F.concat(F.lit("row "), F.xxhash64(*others).cast("string"))))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(group, F.lit(len(shares) - 1)).alias("grp"), rank_key.alias("rank_key"))
     buckets = max(256, 2 ** math.ceil(math.log2(max(1, docs.count() / bucket_rows))))
     rows = rows.withColumn("bucket", F.floor(F.conv(F.substring("rank_key", 1, 8), 16, 10).cast("long") * buckets / 2**32))
     sizes = rows.groupBy("grp", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -96,11 +105,16 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the slot of their block and their place in it."""
-    return mixed(docs, WEIGHTS, OTHER).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix.slot").alias("slot"), F.col("_mix.pos").alias("pos"))
+    """All documents, with all their columns, the slot of their block and their place in it: slot and pos.
+
+    Cases are those of ``mixed``. Where a column of ``docs`` is named so already, ours get underscores behind.
+    """
+    slot, pos = free_names(docs, "slot", "pos")
+    return mixed(docs, WEIGHTS, OTHER).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix.slot").alias(slot), F.col("_mix.pos").alias(pos))
 
 
 _Q = quotas(WEIGHTS, OTHER)
+_PERIOD = sum(a for _, a in _Q)
 _CASES = " ".join(f"WHEN '{name}' THEN {i}" for i, (name, _) in enumerate(_Q[:-1]))
 _LIST = "[" + ", ".join(f"{a}::BIGINT" for _, a in _Q) + "]"
 OP4_SQL = f"""
@@ -108,13 +122,13 @@ WITH RECURSIVE edf(t, had, pick) AS (
   SELECT -1::BIGINT, list_transform(range({len(_Q)}), lambda x: 0::BIGINT), -1::BIGINT
   UNION ALL
   SELECT t, list_transform(range({len(_Q)}), lambda j: had[j + 1] + (CASE WHEN j = p THEN 1 ELSE 0 END)), p FROM (
-    SELECT t + 1 AS t, had, list_min(list_transform(list_filter(range({len(_Q)}), lambda j: had[j + 1] < {_LIST}[j + 1] AND had[j + 1] * {PERIOD} // {_LIST}[j + 1] <= t + 1),
-      lambda j: (((had[j + 1] + 1) * {PERIOD} + {_LIST}[j + 1] - 1) // {_LIST}[j + 1]) * 1000 + j)) % 1000 AS p
-    FROM edf WHERE t < {PERIOD - 1})),
+    SELECT t + 1 AS t, had, list_min(list_transform(list_filter(range({len(_Q)}), lambda j: had[j + 1] < {_LIST}[j + 1] AND had[j + 1] * {_PERIOD} // {_LIST}[j + 1] <= t + 1),
+      lambda j: (((had[j + 1] + 1) * {_PERIOD} + {_LIST}[j + 1] - 1) // {_LIST}[j + 1]) * 1000 + j)) % 1000 AS p
+    FROM edf WHERE t < {_PERIOD - 1})),
 plan AS (SELECT pick AS grp, t AS slot, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0),
 d AS (SELECT doc_id, source, CASE source {_CASES} ELSE {len(_Q) - 1} END AS grp FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(coalesce(doc_id::VARCHAR, ''))) - 1 AS rank FROM d),
 b AS (SELECT *, rank // {BLOCK} AS block, rank % {BLOCK} AS pos, {_LIST}[grp + 1] AS quota FROM r)
-SELECT doc_id, source, block, (block // quota) * {PERIOD} + slot AS slot, pos
+SELECT doc_id, source, block, (block // quota) * {_PERIOD} + slot AS slot, pos
 FROM b JOIN plan ON plan.grp = b.grp AND plan.nth = b.block % quota
 """

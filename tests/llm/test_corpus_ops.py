@@ -119,22 +119,31 @@ def test_components(spark):
 
 
 def test_schedule_keeps_every_deadline(spark):
-    for weights in ({"a": 0.5, "b": 0.25}, {"a": 0.7, "b": 0.1, "c": 0.05}):
-        quota = [a for _, a in mixing.quotas(weights, 0.15, 97)]
-        rows = mixing.schedule(spark, quota).collect()
-        assert sorted(r["slot"] for r in rows) == list(range(97)) and Counter(r["grp"] for r in rows) == dict(enumerate(quota))
+    for weights, other in (({"a": 0.5, "b": 0.25}, 0.15), ({"a": 0.7, "b": 0.1, "c": 0.05}, 0.15), ({"a": 0.333, "b": 0.017}, 0.65), (mixing.WEIGHTS, mixing.OTHER)):
+        target = [Fraction(str(w)) for _, w in sorted(weights.items())] + [Fraction(str(other))]
+        target = [w / sum(target) for w in target]
+        quota = [a for _, a in mixing.quotas(weights, other)]
+        period = sum(quota)
+        rows = sorted(mixing.schedule(spark, quota).collect(), key=lambda r: r["slot"])
+        assert [r["slot"] for r in rows] == list(range(period)) and Counter(r["grp"] for r in rows) == dict(enumerate(quota))
         had = [0] * len(quota)
-        for r in sorted(rows, key=lambda r: r["slot"]):
-            assert r["nth"] == had[r["grp"]]
-            had[r["grp"]] += 1
-            for g, a in enumerate(quota):
-                assert abs(had[g] - Fraction(a * (r["slot"] + 1), 97)) < 1
+        for round_ in range(max(2, 3000 // period)):  # against the weights themselves, over many periods
+            for r in rows:
+                assert r["nth"] == had[r["grp"]] - round_ * quota[r["grp"]]
+                had[r["grp"]] += 1
+                assert all(abs(had[g] - w * (round_ * period + r["slot"] + 1)) < 1 for g, w in enumerate(target))
+
+
+def test_weights_that_never_repeat_are_refused():
+    for weights, other in (({"a": 0}, 1), ({"a": -1.0}, 1), ({"a": float("inf")}, 1), ({"a": float("nan")}, 1), ({"a": 0.1234567}, 0.9)):
+        with pytest.raises(ValueError):
+            mixing.quotas(weights, other)
 
 
 def test_mixing(docs):
     rnd = random.Random(3)
     rows = [(i, "", rnd.choice(["a", "a", "a", "b", None, "z"])) for i in range(3000)]
-    got = mixing.mixed(docs(rows, True), {"a": 0.5, "b": 0.3}, 0.2, block=4, period=50).collect()
+    got = mixing.mixed(docs(rows, True), {"a": 0.5, "b": 0.3}, 0.2, block=4).collect()
     assert sorted(r["doc_id"] for r in got) == list(range(3000))
     slots = defaultdict(set)
     for r in got:
@@ -142,12 +151,20 @@ def test_mixing(docs):
         slots[m["slot"]].add((m["grp"], m["block"]))
     assert all(len(v) == 1 for v in slots.values())
     n = Counter(r["_mix"]["grp"] for r in got)
-    quota = [a for _, a in mixing.quotas({"a": 0.5, "b": 0.3}, 0.2, 50)]
     ends = min(max(r["_mix"]["slot"] for r in got if r["_mix"]["grp"] == g) for g in n)
     had = [0] * 3
     for s in range(ends):
         had[next(iter(slots[s]))[0]] += 1
-        assert all(abs(had[g] - Fraction(quota[g] * (s + 1), 50)) < 1 for g in range(3))
+        assert all(abs(had[g] - w * (s + 1)) < 1 for g, w in enumerate((Fraction(1, 2), Fraction(3, 10), Fraction(1, 5))))
+
+
+def test_mixing_stage_keeps_clashing_columns(spark, docs, odd, tmp_path):
+    df = docs(odd, True).selectExpr("*", "'y' as SLOT_")
+    out = mixing.stage(spark, df, "")
+    out.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == [*df.columns, "slot__", "pos_"] and {(r["slot"], r["SLOT_"]) for r in back.collect()} == {("x", "y")}
+    assert len({(r["slot__"], r["pos_"]) for r in back.collect()}) == len(odd)
 
 
 def test_mixing_sql_and_odd(spark, docs, odd, tmp_path):
@@ -157,8 +174,6 @@ def test_mixing_sql_and_odd(spark, docs, odd, tmp_path):
     got = mixing.mixed(docs(odd, True), {"src0": 1}, 1).collect()
     assert len(got) == len(odd) and len({(r["_mix"]["slot"], r["_mix"]["pos"]) for r in got}) == len(odd)
     assert mixing.mixed(docs(odd).limit(0), {"src0": 1}, 1).count() == 0
-    with pytest.raises(ValueError):
-        mixing.quotas({"a": 0}, 1)
 
 
 # toxicity
