@@ -19,9 +19,9 @@ K, SHARE, BROADCAST_ROWS = 5, 0.8, 1_000_000
 
 
 def shingles(words: Column, k: int) -> Column:
-    """64-bit hashes of all runs of ``k`` words; of fewer words none."""
+    """64-bit hashes of all runs of ``k`` words, from the words' own, so that a word is hashed once; of fewer words none."""
     return F.transform(
-        F.array(words),
+        F.array(F.transform(words, lambda w: F.xxhash64(w))),
         lambda w: F.when(
             F.size(w) >= k,
             F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])),
@@ -53,13 +53,10 @@ def item_shingles(items: DataFrame, k: int = K, share: float = SHARE) -> DataFra
 
 
 def _hits(text: DataFrame, parts: DataFrame, widths: list[int]) -> DataFrame:
-    """(doc, and the columns of ``parts``) for each shingle of ``text`` (doc, w) that is one of ``parts``."""
-    out = None
-    for n in widths:
-        rows = text.select("doc", F.explode(shingles(F.col("w"), n)).alias("s"))
-        hits = rows.join(parts.where(F.col("width") == n), F.col("s") == F.col("h")).drop("s", "width")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    """(doc, and the columns of ``parts``) for each shingle of ``text`` (doc, w) that is one of ``parts``; one scan for all widths."""
+    own = [F.coalesce(shingles(F.col("w"), n), F.array().cast("array<bigint>")) for n in widths]
+    rows = text.select("doc", F.explode(F.concat(*own)).alias("s"))
+    return rows.join(parts, F.col("s") == F.col("h")).drop("s", "width")
 
 
 def _small(df: DataFrame, n: int, broadcast_rows: int) -> DataFrame:
@@ -107,7 +104,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which no item of ``benchmark`` lies."""
+    """The documents in which no item of ``benchmark`` lies, with all their columns, whatever their names.
+
+    Cases are those of ``leaks``: null and empty texts stay, and rows that share a doc_id, null among them, go together.
+    """
     bad = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak"]), "left_anti")
 
