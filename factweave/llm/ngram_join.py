@@ -1,15 +1,18 @@
 """N-gram Jaccard join with signature trees.
 
-1. Documents with equal shingle sets are one class.
+1. Documents with equal shingle sets are one class; sets are equal if their sizes and 128 bits of hash are.
 2. Two sets that are similar enough share one of their rarest shingles (the prefix filter, in the order of a sketch of
-   shingle counts over all documents). A pass over the classes, sorted by these keys, finds the keys that are shared.
-3. Keys that few classes share give pairs, pruned by size and by the overlap that their token bitmaps allow, then
-   compared exactly.
-4. Classes that meet in crowded keys form clusters, dealt into blocks by size. Each pair of blocks that can hold
-   similar sets is one task: it builds a signature tree of either block, whose nodes hold the OR and the AND of their
-   sets' bitmaps and the range of their sizes, and a dual traversal drops all pairs of nodes whose largest possible
-   overlap is too small, or whose sets are all linked already. What is left is compared exactly; a task returns a
-   spanning forest of the links it finds, never all pairs.
+   shingle counts over all documents). A pass over the classes, sorted by these keys, finds the groups of classes that
+   share a key; keys shared by the same classes are one group.
+3. Each group is a signature tree, whose nodes hold the OR and the AND of their sets' token bitmaps and the range of
+   their sizes. A dual traversal of the tree with itself drops all pairs of nodes whose largest possible overlap is too
+   small, or whose sets are connected already, and returns a spanning forest of the pairs that may be similar, never
+   all of them. The forests' components are clusters: similar sets are always in one cluster.
+4. Clusters are dealt into blocks by size. A task builds signature trees of two blocks' whole sets and traverses them
+   alike, but compares exactly what is left, and returns a spanning forest of the links. A first round joins each block
+   with itself and its neighbours. In the second round only clusters that are not yet one component go on, and blocks of
+   a cluster's largest component meet all others, but not one another: of near copies, whose blocks the first
+   round has linked, no further pairs are left.
 5. Components of the links give each document its class.
 """
 
@@ -29,8 +32,9 @@ from .graph import components
 
 #: Words of a shingle and least percentage of the union that two sets share: of the query, and by default.
 QUERY_K, QUERY_PERCENT, K, PERCENT = 3, 90, 5, 80
-#: Counters of the sketch (a power of two); classes of a key that make it crowded; sets and shingles of a block.
-SKETCH, CROWD, BLOCK_SETS, BLOCK_SHINGLES = 2**22, 32, 256, 400_000
+#: Counters of the sketch (a power of two); classes of a key that a task holds at once, more of them being one cluster
+#: without a look at their bitmaps; sets and shingles of a block.
+SKETCH, GROUP, BLOCK_SETS, BLOCK_SHINGLES = 2**22, 1024, 128, 400_000
 #: Sets of a leaf, children of a node; the most hot keys that are broadcast.
 LEAF, FANOUT, BROADCAST_KEYS = 16, 8, 1_000_000
 
@@ -74,7 +78,7 @@ def _folded(b: np.ndarray, words: int) -> np.ndarray:
     return b
 
 
-def _bits_for(n: int, least: int = 256, most: int = 8192) -> int:
+def _bits_for(n: int, least: int = 256, most: int = 65536) -> int:
     return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
 
 
@@ -115,56 +119,85 @@ def possible(a: Node, b: Node, percent: int) -> bool:
     return 100 * a.most - (100 + percent) * _lacks(a.all, b.any) >= percent * b.least and 100 * b.most - (100 + percent) * _lacks(b.all, a.any) >= percent * a.least
 
 
-def tree_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two blocks, or within one if ``sets_b`` is None; second indices count on from the first block."""
-    sets = sets_a + (sets_b or [])
-    bits = _bits_for(2 * max(map(len, sets)), most=16384)
+class Forest:
+    """Disjoint sets of the numbers below ``n``."""
 
-    def block(part: list[np.ndarray], base: int):
-        order = sorted(range(len(part)), key=lambda i: (part[i][0], len(part[i])))  # sets with the same smallest hash are often alike
-        maps = np.array([bitmap(part[i], bits) for i in order])
-        sizes = np.array([len(part[i]) for i in order])
-        return np.array(order) + base, maps, sizes, signature_tree(maps, sizes)
-
-    ids_a, maps_a, sizes_a, root_a = block(sets_a, 0)
-    ids_b, maps_b, sizes_b, root_b = block(sets_b, len(sets_a)) if sets_b is not None else (ids_a, maps_a, sizes_a, root_a)
-    parent = list(range(len(sets)))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
         return i
 
-    out, stack = [], [(root_a, root_b)]
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        i, j = self.find(i), self.find(j)
+        self.parent[i] = j
+        return i != j
+
+
+class Block:
+    """Sets with their bitmaps (all of one width), sizes, numbers and tree; ``order`` says which are next to one another."""
+
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, order: list[int], base: int = 0):
+        at = np.array(order)
+        self.ids, self.maps, self.sizes = at + base, maps[at], sizes[at]
+        self.root = signature_tree(self.maps, self.sizes)
+
+
+def dual_traversal(a: Block, b: Block, forest: Forest, percent: int, confirm) -> list[tuple[int, int]]:
+    """The pairs of ``a`` and ``b`` that connect what was apart: those that may be similar and that ``confirm`` accepts."""
+    out, stack = [], [(a.root, b.root)]
     while stack:
-        a, b = stack.pop()
-        if not possible(a, b, percent):
+        x, y = stack.pop()
+        if not possible(x, y, percent):
             continue
-        if len({find(int(i)) for i in ids_a[a.lo : a.hi]} | {find(int(i)) for i in ids_b[b.lo : b.hi]}) == 1:
+        first = forest.find(int(a.ids[x.lo]))
+        if all(forest.find(int(i)) == first for i in a.ids[x.lo : x.hi]) and all(forest.find(int(i)) == first for i in b.ids[y.lo : y.hi]):
             continue
-        if a.children or b.children:
-            if a is b:
-                stack += [(x, y) for i, x in enumerate(a.children) for y in a.children[i:]]
-            elif a.children and (not b.children or a.hi - a.lo >= b.hi - b.lo):
-                stack += [(x, b) for x in a.children]
+        if x.children or y.children:
+            if x is y:
+                stack += [(p, q) for i, p in enumerate(x.children) for q in x.children[i:]]
+            elif x.children and (not y.children or x.hi - x.lo >= y.hi - y.lo):
+                stack += [(p, y) for p in x.children]
             else:
-                stack += [(a, y) for y in b.children]
+                stack += [(x, q) for q in y.children]
             continue
-        ma, mb = maps_a[a.lo : a.hi, None], maps_b[None, b.lo : b.hi]
-        na, nb = sizes_a[a.lo : a.hi, None], sizes_b[None, b.lo : b.hi]
+        ma, mb = a.maps[x.lo : x.hi, None], b.maps[None, y.lo : y.hi]
+        na, nb = a.sizes[x.lo : x.hi, None], b.sizes[None, y.lo : y.hi]
         most = np.minimum(na - np.bitwise_count(ma & ~mb).sum(2), nb - np.bitwise_count(mb & ~ma).sum(2))
-        for x, y in zip(*np.nonzero(similar(na, nb, most, percent))):
-            i, j = int(ids_a[a.lo + x]), int(ids_b[b.lo + y])
-            if i == j or (r := find(i)) == (s := find(j)):
-                continue
-            overlap = np.intersect1d(sets[i], sets[j], assume_unique=True).size
-            if similar(len(sets[i]), len(sets[j]), overlap, percent):
-                parent[r] = s
+        for p, q in zip(*np.nonzero(similar(na, nb, most, percent))):
+            i, j = int(a.ids[x.lo + p]), int(b.ids[y.lo + q])
+            if i != j and forest.find(i) != forest.find(j) and confirm(i, j):
+                forest.join(i, j)
                 out.append((i, j))
     return out
 
 
+def signature_links(maps: list[np.ndarray], sizes: list[int], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may be similar by their bitmaps and sizes."""
+    words = min(map(len, maps))
+    block = Block(np.array([_folded(m, words) for m in maps]), np.array(sizes), sorted(range(len(sizes)), key=lambda i: sizes[i]))
+    return dual_traversal(block, block, Forest(len(sizes)), percent, lambda i, j: True)
+
+
+def tree_links(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two blocks, or within one if ``sets_b`` is None; second indices count on from the first block."""
+    sets = sets_a + (sets_b or [])
+    bits = _bits_for(2 * max(map(len, sets)), most=16384)
+
+    def block(part: list[np.ndarray], base: int) -> Block:
+        order = sorted(range(len(part)), key=lambda i: (part[i][0], len(part[i])))  # sets with the same smallest hash are often alike
+        return Block(np.array([bitmap(s, bits) for s in part]), np.array([len(s) for s in part]), order, base)
+
+    a = block(sets_a, 0)
+    b = block(sets_b, len(sets_a)) if sets_b is not None else a
+    alike = lambda i, j: bool(similar(len(sets[i]), len(sets[j]), np.intersect1d(sets[i], sets[j], assume_unique=True).size, percent))
+    return dual_traversal(a, b, Forest(len(sets)), percent, alike)
+
+
 def _sketch(docs: DataFrame, k: int, width: int) -> np.ndarray:
     """Counts of shingles over all documents, by their hash's last bits; its size is fixed."""
 
@@ -198,30 +231,34 @@ def _sketch(docs: DataFrame, k: int, width: int) -> np.ndarray:
     return out
 
 
-def _class_id(s: np.ndarray) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(s.tobytes()), "little", signed=True)
+def _class_of(s: np.ndarray) -> tuple[int, int]:
+    """A class's id, and what tells it from other classes with that id."""
+    digest = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _profiles(docs: DataFrame, k: int, percent: int, width: int) -> DataFrame:
-    """doc_id, cid, n, keys, bits of each document; cid is null and n 0 for an empty set."""
+    """doc_id, cid, chk, n, keys, bits of each document; cid is null and n 0 for an empty set."""
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(docs, k, width))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), counts.value
         for batch in batches:
-            cid, n, keys, bits = [], [], [], []
+            cid, chk, n, keys, bits = [], [], [], [], []
             for t in batch.column("text"):
                 s = shingle_set(t.as_py(), k, hashes)
                 n.append(len(s))
                 if not len(s):
-                    cid.append(None), keys.append([]), bits.append(b"")
+                    cid.append(None), chk.append(None), keys.append([]), bits.append(b"")
                     continue
                 prefix = len(s) - (percent * len(s) + 99) // 100 + 1
                 rare = np.argsort(seen[(s & np.uint64(width - 1)).astype(np.int64)], kind="stable")[:prefix]
-                cid.append(_class_id(s)), keys.append(s[rare].view(np.int64)), bits.append(bitmap(s, _bits_for(len(s))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "cid", "n", "keys", "bits"])
+                for out, x in zip((cid, chk), _class_of(s)):
+                    out.append(x)
+                keys.append(s[rare].view(np.int64)), bits.append(bitmap(s, _bits_for(len(s))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cid, pa.int64()), pa.array(chk, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], names=["doc_id", "cid", "chk", "n", "keys", "bits"])
 
-    return docs.mapInArrow(profile, "doc_id long, cid long, n long, keys array<long>, bits binary")
+    return docs.mapInArrow(profile, "doc_id long, cid long, chk long, n long, keys array<long>, bits binary")
 
 
 def _hot_keys(reps: DataFrame, crowd: int) -> DataFrame:
@@ -249,19 +286,24 @@ def _entries(reps: DataFrame, crowd: int, broadcast_keys: int = BROADCAST_KEYS)
     return rows.repartition("key", F.when(F.col("hot"), F.col("cid"))).sortWithinPartitions("key", "n", "cid")
 
 
-def _meetings(percent: int, crowd: int):
-    """Over rows sorted by key and size: pairs of classes that share a key (kind 0), or key and class of crowded keys (kind 1)."""
+def _meetings(percent: int, most: int):
+    """Over rows sorted by key and size: (group, class) of groups that share a key (kind 0), (key, class) of hot keys and larger groups (kind 1).
+
+    A group ends where the next size is too far from the last one, and is named by its members.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, full = None, [], False  # the key at hand, its classes while they are few
 
-        def group():
-            for i, (n, a) in enumerate(held):
-                for m, b in held[i + 1 :]:
-                    if n * 100 < percent * m:
-                        break
-                    if a != b:
-                        yield 0, min(a, b), max(a, b)
+        def groups():
+            start = 0
+            for i in range(1, len(held) + 1):
+                if i == len(held) or held[i - 1][0] * 100 < percent * held[i][0]:
+                    members = sorted({c for _, c in held[start:i]})
+                    if len(members) > 1:
+                        name = int.from_bytes(xxhash.xxh3_64_digest(np.array(members, np.int64).tobytes()), "little", signed=True)
+                        yield from ((0, name, c) for c in members)
+                    start = i
 
         for batch in batches:
             ks, ns, cs, hot = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "cid", "hot"))
@@ -278,18 +320,18 @@ def _meetings(percent: int, crowd: int):
             for i in np.flatnonzero(~alone):
                 if ks[i] != key:
                     if not full:
-                        out += group()
+                        out += groups()
                     key, held, full = ks[i], [], False
                 if full:
                     out.append((1, int(key), int(cs[i])))
                     continue
                 held.append((int(ns[i]), int(cs[i])))
-                if len(held) > crowd:
+                if len(held) > most:
                     out += [(1, int(key), c) for _, c in held]
                     held, full = [], True
             if out:
                 yield _rows(out)
-        if not full and (out := list(group())):
+        if not full and (out := list(groups())):
             yield _rows(out)
 
     def _rows(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -299,30 +341,25 @@ def _meetings(percent: int, crowd: int):
     return meet
 
 
-def _prune(percent: int):
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for na, nb, x, y in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                words = min(len(p), len(q))
-                p, q = _folded(p, words), _folded(q, words)
-                keep.append(bool(similar(na, nb, min(na - _lacks(p, q), nb - _lacks(q, p)), percent)))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return prune
+def _group_trees(percent: int):
+    """Over rows (grp, n, cid, bits) sorted by group: the signature tree of each group, and the pairs that its traversal leaves."""
 
-
-def _compare(percent: int):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, cids, sizes, maps = None, [], [], []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(bool(similar(len(p), len(q), np.intersect1d(p, q, assume_unique=True).size, percent)))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            out = []
+            for g, n, c, data in zip(batch.column("grp").to_pylist(), batch.column("n").to_pylist(), batch.column("cid").to_pylist(), batch.column("bits")):
+                if g != grp:
+                    out += [(cids[i], cids[j]) for i, j in signature_links(maps, sizes, percent)] if len(cids) > 1 else []
+                    grp, cids, sizes, maps = g, [], [], []
+                cids.append(c), sizes.append(n), maps.append(np.frombuffer(data.as_py(), np.uint64))
+            yield _pairs(out)
+        yield _pairs([(cids[i], cids[j]) for i, j in signature_links(maps, sizes, percent)] if len(cids) > 1 else [])
 
-    return compare
+    def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
+
+    return links
 
 
 def _block_links(percent: int):
@@ -340,36 +377,70 @@ def _block_links(percent: int):
     return links
 
 
-def _tasks(crowded: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
-    """(task, side, inner, cid): the pairs of blocks that can hold similar sets, with their members.
+def _tasks(clustered: DataFrame, percent: int, block_sets: int, block_shingles: int, first: bool) -> DataFrame:
+    """(label, band, i, j, side, inner, up, cid): the pairs of blocks that can hold similar sets, with their members.
 
-    ``crowded`` has cid, n and label, the cluster. Sets are linked only if their sizes are within the percentage, that
-    is, in one size band or two neighbouring ones.
+    ``clustered`` has cid, n, label, the cluster, and core, whether a class is in the cluster's largest component. Sets
+    are linked only if their sizes are within the percentage, that is, in one size band or two neighbouring ones. A
+    band's core members fill its first blocks. In the ``first`` round there are no core members, and a block meets itself,
+    the next block of its band and one of either neighbouring band; later all blocks meet, but core blocks one another.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    rows = crowded.withColumn("band", band)
-    cells = rows.groupBy("label", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
+    rows = clustered.withColumn("band", band)
+    blocks = lambda c: F.greatest(F.ceil(F.count_if(c) / block_sets), F.ceil(F.sum(F.when(c, F.col("n")).otherwise(0)) / block_shingles)).cast("int")
+    cells = rows.groupBy("label", "band").agg(blocks(F.col("core")).alias("cores"), blocks(~F.col("core")).alias("others"), F.count(F.lit(1)).alias("members"))
 
     def near(step: int, name: str) -> DataFrame:
-        return cells.select(F.col("label").alias(f"{name}_label"), (F.col("band") - step).alias(f"{name}_band"), F.col("blocks").alias(name))
+        return cells.select(F.col("label").alias(f"{name}_label"), (F.col("band") - step).alias(f"{name}_band"), (F.col("cores") + F.col("others")).alias(name), F.col("cores").alias(f"{name}_cores"), F.col("members").alias(f"{name}_members"))
 
     for step, name in ((0, "own"), (1, "up"), (-1, "down")):
         side = near(step, name)
         rows = rows.join(side, (F.col("label") == F.col(f"{name}_label")) & (F.col("band") == F.col(f"{name}_band")), "left").drop(f"{name}_label", f"{name}_band")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("cid"), F.col("own")).cast("int"))
+    core = F.col("core")
+    own_cores = F.col("own_cores")
+    deal = F.xxhash64("cid")
+    i = F.when(core, F.pmod(deal, F.greatest(own_cores, F.lit(1)))).otherwise(own_cores + F.pmod(deal, F.greatest(F.col("own") - own_cores, F.lit(1)))).cast("int")
+    rows = rows.withColumn("i", i)
     numbers = lambda c: F.when(F.col(c).isNotNull(), F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
     task = lambda b, i, j, side, inner, up: F.struct(b.alias("band"), i.alias("i"), j.alias("j"), side.alias("side"), inner.alias("inner"), F.lit(up).alias("up"))
     b, i, no = F.col("band"), F.col("i"), F.lit(False)
+    if first:
+        after = lambda x: (x + 1) % F.col("own")
+        meets = {"own": lambda j: (j == i) | (j == after(i)) | (i == after(j)), "up": lambda j: j == i % F.col("up"), "down": lambda j: i == j % F.col("own")}
+    else:
+        apart = lambda c: lambda j: ~(core & (j < F.col(f"{c}_cores")))
+        meets = {c: apart(c) for c in ("own", "up", "down")}
+    partners = {c: F.filter(numbers(c), meets[c]) for c in meets}
+    alone = F.col("own_members") == 1
     tasks = F.concat(
-        F.transform(numbers("own"), lambda j: task(b, F.least(i, j), F.greatest(i, j), (i > j).cast("int"), i == j, False)),
-        F.transform(numbers("up"), lambda j: task(b, i, j, F.lit(0), no, True)),
-        F.transform(numbers("down"), lambda j: task(b - 1, j, i, F.lit(1), no, True)),
+        F.transform(F.when(alone, F.array().cast("array<int>")).otherwise(partners["own"]), lambda j: task(b, F.least(i, j), F.greatest(i, j), (i > j).cast("int"), i == j, False)),
+        F.transform(partners["up"], lambda j: task(b, i, j, F.lit(0), no, True)),
+        F.transform(partners["down"], lambda j: task(b - 1, j, i, F.lit(1), no, True)),
     )
-    rows = rows.select("label", "cid", F.explode(tasks).alias("t")).select("label", "cid", "t.*")
-    return rows
+    return rows.select("label", "cid", F.explode(tasks).alias("t")).select("label", "cid", "t.*")
+
+
+def _links(clustered: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_shingles: int, first: bool) -> DataFrame:
+    """(a, b): spanning forests of the links of each task."""
+    tasks = _tasks(clustered, percent, block_sets, block_shingles, first).join(sets.withColumnRenamed("cid", "s_cid"), F.col("cid") == F.col("s_cid"))
+    return staged(tasks.groupBy("label", "band", "i", "j", "up").applyInArrow(_block_links(percent), "a long, b long"), "links")
+
 
+def _unsettled(clustered: DataFrame, links: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """Of ``clustered`` the clusters that have pairs of blocks which have not met, and are not one component yet; core marks their largest one."""
+    wide = F.greatest(F.count(F.lit(1)) / block_sets, F.sum("n") / block_shingles) > 1
+    large = clustered.groupBy(F.col("label").alias("w_label")).agg(wide.alias("wide")).where("wide")
+    rows = clustered.drop("core").join(large, F.col("label") == F.col("w_label"), "left_semi")
+    if rows.isEmpty():
+        return rows.withColumn("core", F.lit(False))
+    parts = components(links).withColumnsRenamed({"node": "p_node", "label": "part"})
+    rows = staged(rows.join(parts, F.col("cid") == F.col("p_node"), "left").select("cid", "n", "label", F.coalesce("part", "cid").alias("part")), "parts")
+    sizes = rows.groupBy("label", "part").agg(F.count(F.lit(1)).alias("m"))
+    best = sizes.groupBy(F.col("label").alias("b_label")).agg(F.max_by("part", F.struct("m", "part")).alias("best"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return staged(rows.join(best, F.col("label") == F.col("b_label")).select("cid", "n", "label", (F.col("part") == F.col("best")).alias("core")), "unsettled")
 
-def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, width: int = SKETCH, crowd: int = CROWD, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+
+def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, width: int = SKETCH, group: int = GROUP, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
 
     A document's set are its distinct shingles of ``k`` words, A-Z lower-cased; of fewer words, all of them are one
@@ -378,49 +449,52 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, widt
 
     Cases: null texts and texts without words have an empty set and are linked with nothing. Repeated rows are
     documents with equal sets. A null doc_id takes part in links, but is never the smallest, unless a component has no
-    other; then it is null. An empty table gives an empty table. Other columns are left alone.
+    other; then it is null. Very long texts are shingled whole. An empty table gives an empty table. Other columns are
+    left alone.
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     profiles = staged(_profiles(docs, k, percent, width), "profiles")
-    known = profiles.where("cid is not null")
-    reps = staged(known.groupBy("cid").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.min("doc_id").alias("rep")), "classes")
-    met = staged(_entries(reps, crowd).mapInArrow(_meetings(percent, crowd), "kind int, a long, b long"), "meetings")
-
-    # Few classes to a key: pairs that their sizes and bitmaps allow.
-    pairs = met.where("kind = 0").select("a", "b").distinct()
-    side = lambda x: reps.select(F.col("cid").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}"))
-    pairs = pairs.join(side("a"), F.col("a") == F.col("ca")).join(side("b"), F.col("b") == F.col("cb")).select("a", "b", "na", "nb", "ba", "bb")
-    pairs = staged(pairs.mapInArrow(_prune(percent), "a long, b long"), "pairs")
-
-    # Many classes to a key: clusters.
+    reps = profiles.where("cid is not null").groupBy("cid", "chk").agg(F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"), F.min("doc_id").alias("rep"))
+    reps = staged(reps, "classes")
+    twice = staged(reps.groupBy(F.col("cid").alias("t_cid")).agg(F.min("chk").alias("kept"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "twice")
+    if not twice.isEmpty():  # different sets with one id: all but one of them get another
+        other = F.when(F.col("chk") != F.col("kept"), F.xxhash64("cid", "chk")).otherwise(F.col("cid"))
+        profiles, reps = (x.join(twice, F.col("cid") == F.col("t_cid"), "left").withColumn("cid", F.coalesce(other, "cid")).drop("t_cid", "kept") for x in (profiles, reps))
+    met = staged(_entries(reps, group).mapInArrow(_meetings(percent, group), "kind int, a long, b long"), "meetings")
+
+    # Groups that share a key: their trees give pairs that may be similar.
+    members = met.where("kind = 0").select(F.col("a").alias("grp"), F.col("b").alias("g_cid")).distinct()
+    members = members.join(reps.select("cid", "n", "bits"), F.col("g_cid") == F.col("cid")).select("grp", "n", "cid", "bits")
+    near = members.repartition("grp").sortWithinPartitions("grp", "n", "cid").mapInArrow(_group_trees(percent), "a long, b long")
+
+    # Keys of more classes than a task holds: all of them are in one cluster.
     crowds = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("cid"))
-    first = staged(crowds.groupBy(F.col("key").alias("k")).agg(F.min("cid").alias("least")), "least")  # the join can then split a hot key
-    clusters = components(crowds.join(first, F.col("key") == F.col("k")).select(F.col("cid").alias("a"), F.col("least").alias("b")))
-    crowded = staged(clusters.join(reps.select("cid", "n"), F.col("node") == F.col("cid")).select("cid", "n", "label"), "clusters")
-
-    # The sets of the classes that take part; an id that belongs to other texts too gives other classes, which are dropped.
-    wanted = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).unionByName(crowded.select(F.col("cid").alias("w"))).distinct()
-    wanted = reps.select("cid", "rep").join(wanted, F.col("cid") == F.col("w")).select("rep", "cid")
+    least = staged(crowds.groupBy(F.col("key").alias("k")).agg(F.min("cid").alias("least")), "least")  # the join can then split a hot key
+    near = near.unionByName(crowds.join(least, F.col("key") == F.col("k")).select(F.col("cid").alias("a"), F.col("least").alias("b")))
+    clusters = staged(components(near), "labels")
+    clustered = clusters.join(reps.select("cid", "chk", "n", "rep"), F.col("node") == F.col("cid")).select("cid", "chk", "n", "rep", "label")
+    clustered = staged(clustered, "clusters")
 
+    # The sets of the classes that take part; a doc_id that other texts have too gives other sets, which are dropped.
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in batches:
             cid, data = [], []
-            for want, t in zip(batch.column("cid").to_pylist(), batch.column("text")):
+            for want, check, t in zip(batch.column("cid").to_pylist(), batch.column("chk").to_pylist(), batch.column("text")):
                 s = shingle_set(t.as_py(), k, hashes)
-                if len(s) and _class_id(s) == want:
+                if len(s) and _class_of(s)[1] == check:
                     cid.append(want), data.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(data, pa.binary())], names=["cid", "set"])
 
-    texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "text")
+    texts = docs.join(clustered.select("cid", "chk", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "chk", "text")
     sets = staged(texts.mapInArrow(make, "cid long, set binary").dropDuplicates(["cid"]), "sets")
 
-    of = lambda x: sets.select(F.col("cid").alias(f"c{x}"), F.col("set").alias(f"s{x}"))
-    links = pairs.join(of("a"), F.col("a") == F.col("ca")).join(of("b"), F.col("b") == F.col("cb")).select("a", "b", "sa", "sb")
-    links = links.mapInArrow(_compare(percent), "a long, b long")
-    tasks = _tasks(crowded, percent, block_sets, block_shingles).join(sets.withColumnRenamed("cid", "s_cid"), F.col("cid") == F.col("s_cid"))
-    trees = tasks.groupBy("label", "band", "i", "j", "up").applyInArrow(_block_links(percent), "a long, b long")
-    labels = components(links.unionByName(trees)).withColumnsRenamed({"node": "l_node", "label": "l_label"})
+    clustered = clustered.select("cid", "n", "label", F.lit(False).alias("core"))
+    links = _links(clustered, sets, percent, block_sets, block_shingles, True)
+    rest = _unsettled(clustered, links, percent, block_sets, block_shingles)
+    if not rest.isEmpty():
+        links = links.unionByName(_links(rest, sets, percent, block_sets, block_shingles, False))
+    labels = components(links).withColumnsRenamed({"node": "l_node", "label": "l_label"})
 
     ids = profiles.select("doc_id", "cid", "n")
     groups = reps.select("cid", "rep").join(labels, F.col("cid") == F.col("l_node"), "left").select("cid", "rep", F.coalesce("l_label", "cid").alias("group"))
@@ -440,7 +514,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Cases are those of ``similarity_classes``. Rows that share a doc_id, null among them, stay together: all of them
     if one of them stays. Extra columns stay, whatever their names.
     """
-    keep = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct().hint("shuffle_hash")
+    keep = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi")
 
 

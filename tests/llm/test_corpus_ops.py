@@ -57,7 +57,7 @@ def copies(seed, n=70):
     return rows
 
 
-@pytest.mark.parametrize(("k", "percent", "options"), [(3, 90, {}), (5, 80, {}), (3, 90, {"crowd": 1, "block_sets": 4, "width": 64}), (5, 80, {"crowd": 2, "block_sets": 16, "block_shingles": 500})])
+@pytest.mark.parametrize(("k", "percent", "options"), [(3, 90, {}), (5, 80, {}), (3, 90, {"group": 3, "block_sets": 4, "width": 64}), (5, 80, {"block_sets": 2}), (5, 80, {"group": 2, "block_sets": 16, "block_shingles": 500})])
 def test_similarity_classes(docs, k, percent, options):
     rows = copies(k)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similarity_classes(docs(rows, True), k, percent, **options).collect()}
@@ -99,6 +99,37 @@ def test_tree_prunes_only_what_cannot_link():
     assert groups(found) == groups(across + ngram_join.tree_links(sets[:50], None, 80) + [(a + 50, b + 50) for a, b in ngram_join.tree_links(sets[50:], None, 80)])
 
 
+def test_groups_trees_connect_all_that_may_link():
+    """The forest of a group's tree has the components of all pairs that bitmaps and sizes allow, and so of all links."""
+    rng = np.random.default_rng(3)
+    base = [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.r_[rng.permutation(base[i % 4])[: 200 - int(rng.integers(0, 25))], rng.integers(0, 2**63, int(rng.integers(0, 15)), dtype=np.uint64)]) for i in range(90)]
+    maps = [ngram_join.bitmap(x, ngram_join._bits_for(len(x))) for x in sets]
+    found = ngram_join.signature_links(maps, [len(x) for x in sets], 80)
+    whole = ngram_join.Forest(90)
+    for i, j in found:
+        assert whole.join(i, j)  # a forest, never all pairs
+    links = [(i, j) for i in range(90) for j in range(i) if ngram_join.similar(len(sets[i]), len(sets[j]), np.intersect1d(sets[i], sets[j]).size, 80)]
+    assert links and all(whole.find(i) == whole.find(j) for i, j in links)
+    assert len({whole.find(i) for i in range(90)}) >= 4  # sets that have nothing in common are no cluster
+
+
+def test_large_clusters_take_two_rounds(docs):
+    """Copies that are like their original, but mostly not like one another, and chains of them, in blocks of three."""
+    rnd = random.Random(21)
+    original = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 40):
+        w = list(original if i % 3 else rows[rnd.randrange(len(rows))][1].split())
+        for at in rnd.sample(range(len(w)), rnd.choice((1, 2, 3))):
+            w[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(original + [f"tail{j}" for j in range(i * 3)])) for i in range(20)]  # over many size bands
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_classes(docs(rows), 3, 90, block_sets=3).collect()}
+    want = classes_by_hand(rows, 3, 90)
+    assert got == {i: c for i, (_, c) in want.items()} and 1 < len(set(got.values())) < 50
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(5, 5)]
