@@ -34,7 +34,7 @@ from .graph import components
 QUERY_K, QUERY_PERCENT, K, PERCENT = 3, 90, 5, 80
 #: Counters of the sketch (a power of two); classes of a key that a task holds at once, more of them being one cluster
 #: without a look at their bitmaps; sets and shingles of a block.
-SKETCH, GROUP, BLOCK_SETS, BLOCK_SHINGLES = 2**22, 1024, 128, 400_000
+SKETCH, GROUP, BLOCK_SETS, BLOCK_SHINGLES = 2**22, 256, 128, 400_000
 #: Sets of a leaf, children of a node; the most hot keys that are broadcast.
 LEAF, FANOUT, BROADCAST_KEYS = 16, 8, 1_000_000
 

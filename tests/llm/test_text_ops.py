@@ -71,6 +71,38 @@ def test_line_dedup(docs):
     assert again == got
 
 
+def test_rows_of_one_document_count_once(docs):
+    line = "this line is in all of these documents"
+    rows = [(1, f"{line}\na"), (1, f"{line}\nb"), (2, f"{line}\nc"), (2, f"d\n{line}")]
+    got = sorted((r["doc_id"], r["_dedup"]["n_dropped"]) for r in line_dedup.line_dedup(docs(rows)).collect())
+    assert got == [(1, 0), (1, 0), (2, 0), (2, 0)]  # two documents
+    got = sorted((r["doc_id"], r["_dedup"]["n_dropped"]) for r in line_dedup.line_dedup(docs([*rows, (0, line)]), batches=3).collect())
+    assert got == [(0, 1), (1, 1), (1, 1), (2, 0), (2, 0)]
+
+
+def test_batches_are_merge_joined_with_runs_as_they_lie(spark, tmp_path):
+    rnd = random.Random(31)
+    rows = [(rnd.randrange(40), rnd.randrange(40), d, b) for b in range(5) for d in range(100 * (4 - b), 100 * (5 - b)) for _ in range(6)]
+    lines = spark.createDataFrame([(k % 7, k, d, b) for k, _, d, b in rows], "h1 long, h2 long, id long, batch int")
+    runs = line_dedup.LineRuns(spark, str(tmp_path / "runs"), 2)
+    held = defaultdict(set)
+    for b in range(5):
+        batch = lines.where(f"batch = {b}")
+        plan = runs.met(batch)._jdf.queryExecution().executedPlan().toString()
+        n = sum(map(len, runs.levels))
+        # the batch is dealt by document and then by key; the runs are not dealt at all
+        assert plan.count("SortMergeJoin") == n == plan.count("Bucketed: true") and plan.count("Exchange hashpartitioning") == 2
+        for k, _, d, c in rows:
+            if c == b:
+                held[k].add(d)
+        got = {(r["h1"], r["h2"]): (r["total"], r["last"]) for r in runs.add(batch).collect()}
+        assert got == {(k % 7, k): (len(held[k]), max(held[k])) for k in {k for k, _, _, c in rows if c == b}}
+    assert {r["h2"] for r in runs.keys(70).collect()} == {k for k, v in held.items() if len(v) >= 70}
+    assert len(runs.levels) > 2
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_runs")]
+
+
 def test_line_dedup_cases(docs, odd):
     got = [(r["doc_id"], tuple(r["_dedup"])) for r in line_dedup.line_dedup(docs(odd, True)).collect()]
     assert sorted(map(repr, got)) == sorted(repr((i, ((t or "").count("\n") + 1, 0, t or ""))) for i, t in odd)
