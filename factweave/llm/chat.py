@@ -10,7 +10,7 @@ into blocks by ranges of the turn number, and counts and hashes of blocks give w
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,11 +57,23 @@ def maximal(rows: DataFrame) -> DataFrame:
     return whole.join(continued, (F.col("n_turns") == F.col("at")) & (F.col("w1") == F.col("p1")) & (F.col("w2") == F.col("p2")), "left_anti").select("keep", "n_turns")
 
 
+def escaped(text: Column) -> Column:
+    """The text with a backslash more in each ``<|``, ``<\\|``, and so on."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def escaped_role(role: Column) -> Column:
+    """A role's own ``|>`` must not end it either."""
+    return F.regexp_replace(escaped(role), r"\|(\\*)>", r"|\\$1>")
+
+
 def chat_format(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """conv_id, n_turns, chunk, text: each maximal conversation, rendered in chunks of ``chunk`` turns.
 
     ``turns`` has conv_id, turn, role and text. Turns are rendered as ``<|role|>\\ntext<|end|>\\n``; chunks joined in
-    their order are the conversation, and nearly all conversations are one chunk.
+    their order are the conversation, and nearly all conversations are one chunk. Roles and texts cannot forge such
+    marks: ``<|`` in them becomes ``<\\|``, ``|>`` in a role ``|\\>``, and a backslash is added to those that stand between already, so that what
+    was written can be told.
 
     Cases: null roles and texts are empty. Turns go by turn number, null first; turns of one number by role and text,
     and these should be few, as they share a block. Repeated rows count once. Turns with a null conv_id are one
@@ -69,7 +81,7 @@ def chat_format(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """
     rows = staged(positions(turns), "turns")
     kept = rows.join(maximal(rows), F.col("conv").eqNullSafe(F.col("keep")))
-    said = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n"))
+    said = F.concat(F.lit("<|"), escaped_role(F.col("role")), F.lit("|>\n"), escaped(F.col("text")), F.lit("<|end|>\n"))
     parts = kept.groupBy("conv", "n_turns", F.expr(f"at div {chunk}").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", said.alias("said")))).alias("turns"))
     return parts.select(F.col("conv").alias("conv_id"), "n_turns", "chunk", F.array_join(F.col("turns.said"), "").alias("text"))
 
@@ -78,6 +90,14 @@ def op1_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format(table(spark, sf_dir, "conversations"))
 
 
+def _esc(x: str) -> str:
+    return f"regexp_replace({x}, '<(\\\\*)\\|', '<\\\\\\1|', 'g')"
+
+
+def _esc_role(x: str) -> str:
+    return f"regexp_replace({_esc(x)}, '\\|(\\\\*)>', '|\\\\\\1>', 'g')"
+
+
 OP1_SQL = f"""
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -4611686018427387904) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS ts FROM t GROUP BY conv_id),
@@ -85,6 +105,6 @@ p AS (SELECT DISTINCT ts[1:k] AS ts FROM (SELECT ts, unnest(range(1, len(ts))) A
 m AS (SELECT min(conv_id) AS conv_id, ts FROM c GROUP BY ts),
 k AS (SELECT conv_id, ts, unnest(range(0, (len(ts) + {CHUNK - 1}) // {CHUNK})) AS chunk FROM m ANTI JOIN p USING (ts))
 SELECT conv_id, len(ts)::BIGINT AS n_turns, chunk,
-  array_to_string(list_transform(ts[chunk * {CHUNK} + 1:(chunk + 1) * {CHUNK}], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') AS text
+  array_to_string(list_transform(ts[chunk * {CHUNK} + 1:(chunk + 1) * {CHUNK}], lambda x: '<|' || {_esc_role("x.role")} || '|>' || chr(10) || {_esc("x.text")} || '<|end|>' || chr(10)), '') AS text
 FROM k
 """
