@@ -38,6 +38,10 @@ ALLOW = (
 )
 #: Letters, and letters between separators with a number at the end: words, paths, snake or kebab words, or keys.
 LETTERS = re.compile(r"[A-Za-z/+_=-]+|/?([A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}/?")
+#: What paths, kebab and snake words are made of: words with few digits at an end, numbers, dates, versions.
+PART = re.compile(r"([0-9]{0,4})([A-Za-z]*)([0-9]{0,4})|[0-9]{1,8}|v[0-9]{1,4}")
+#: Of the pairs of letters in such a word this share, at most, may be unusual.
+MOST_ODD = 0.4
 _HEX, _CAPS = re.compile(r"[0-9a-f]+|[0-9A-F]+"), re.compile(r"[A-Z0-9]+")
 #: Pairs of letters that words of English, German, French and Spanish are made of, out of 676.
 PAIRS = frozenset(
@@ -56,9 +60,26 @@ USUAL_PAIRS, SHORT_RUN = 11, 3
 _RUN = re.compile(r"[A-Za-z]{%d,}" % (SHORT_RUN + 1))
 
 
+def worded(s: str) -> bool:
+    """Whether ``s`` is words, numbers and dates between separators, as paths and names of files are."""
+    parts = [p for p in re.split(r"[/_=+-]+", s) if p]
+    if len(parts) < 2:
+        return False
+    for p in parts:
+        m = PART.fullmatch(p)
+        if not m:
+            return False
+        letters = m[2] or ""
+        if letters != letters.lower() and letters[1:] != letters[1:].lower() and letters != letters.upper():
+            return False  # neither lower case, nor a capital first, nor all capitals
+        if len(letters) > SHORT_RUN and sum(unusual_pairs(letters)) > MOST_ODD * (len(letters) - 1):
+            return False
+    return sum(len(p) > SHORT_RUN and p.isalpha() for p in parts) * 3 >= len(parts)
+
+
 def char_class(s: str) -> str | None:
     """The class whose threshold holds for ``s``, None where no string of its kind is a secret."""
-    if any(p.fullmatch(s) for p in ALLOW):
+    if any(p.fullmatch(s) for p in ALLOW) or worded(s):
         return None
     if LETTERS.fullmatch(s):
         return "letters"
@@ -156,7 +177,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind; base_sha256 is of the base
-    kinds' spans alone. Cases: a null text is empty and has no spans; a null doc_id stays null; repeated rows are
+    kinds' spans alone. Strings of fewer than ``WINDOW`` characters are no candidates of the window. Strings of fewer than ``WINDOW`` characters are no candidates. Cases: a null text is empty and has no spans; a null doc_id stays null; repeated rows are
     scanned each for itself; an empty table gives an empty table; other columns are left alone.
     """
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan, SCHEMA)
