@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Covered, table
+from .common import Covered, staged, table
 
 # The base patterns. What stands before a number cannot be a digit that the same pattern would take.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -189,6 +189,27 @@ class SpanModel:
             self.known[f] = self.weights is not None and float((_design(np.array([f])) @ self.weights)[0]) > 0
         return self.known[f]
 
+    def accepted(self) -> list[int]:
+        """Of the features seen in training those of other than the base kinds that are accepted, as numbers, sorted."""
+        return sorted(number(f) for f, yes in self.known.items() if yes and f[0] >= len(BASE))
+
+
+def number(f) -> int:
+    """A span's features as one number."""
+    kind, *votes_, length, before = f
+    out = kind
+    for v in votes_:
+        out = out * 3 + v + 1
+    return (out * 4 + length) * 3 + before
+
+
+def code(f: Column) -> Column:
+    """The same of a column."""
+    out = f[0]
+    for i in range(1, 1 + LABELERS):
+        out = out * 3 + f[i] + 1
+    return (out * 4 + f[1 + LABELERS]) * 3 + f[2 + LABELERS]
+
 
 def train(seen: list[tuple[tuple[int, ...], int]]) -> SpanModel:
     """From the features of all spans with their counts; in a fixed order, so that equal counts give equal models."""
@@ -201,7 +222,10 @@ def train(seen: list[tuple[tuple[int, ...], int]]) -> SpanModel:
     for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w += np.linalg.solve((x * (counts * (q * (1 - q)) + 1e-9)[:, None]).T @ x + np.eye(len(w)), x.T @ (counts * (p - q)) - w)
-    return SpanModel(w, theta)
+    model = SpanModel(w, theta)
+    for f, _ in seen:
+        model.accepts(f)
+    return model
 
 
 def _all(text: str) -> tuple[list, list, list[int]]:
@@ -210,54 +234,56 @@ def _all(text: str) -> tuple[list, list, list[int]]:
     return base, extra, sorted(a for a, _, _ in base + extra)
 
 
-def fit(docs: DataFrame) -> SpanModel:
-    """Count the features of all spans of all documents, and train on the counts, which are few."""
+def written(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                text = t.as_py() or ""
-                base, extra, starts = _all(text)
-                total.update(features(text, s, starts) for s in base + extra)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([list(f) for f in total], pa.list_(pa.int32())), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
 
-    rows = docs.selectExpr("cast(text as string) text").mapInArrow(count, "f array<int>, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()
-    return train([(tuple(r["f"]), r["n"]) for r in rows])
+SCHEMA = """doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string,
+    spans array<struct<start: int, kind: int, stop: int, f: array<int>>>"""
+_SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32()), ("f", pa.list_(pa.int32()))])
 
 
-def written(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The one pass over the texts: base counts and digest, and all spans with their features."""
+    for batch in batches:
+        cols: list[list] = [[] for _ in range(6)]
+        for t in batch.column("text"):
+            text = t.as_py() or ""
+            base, extra, starts = _all(text)
+            n = Counter(k for _, k, _ in base)
+            spans = [{"start": a, "kind": k, "stop": b, "f": list(features(text, (a, k, b), starts))} for a, k, b in sorted(base + extra)]
+            for c, x in zip(cols, (n[0], n[1], n[2], n[3], hashlib.sha256(written(base).encode()).hexdigest(), spans)):
+                c.append(x)
+        arrays = [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.list_(_SPAN))]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+def fit(scanned: DataFrame) -> SpanModel:
+    """Train on the counts of the features of all spans of all documents; there are at most 70,000 different ones."""
+    rows = scanned.select(F.explode("spans.f").alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()
+    return train([(tuple(r["f"]), r["n"]) for r in rows])
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs`` (doc_id, text).
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind; base_sha256 is of the base kinds'
-    spans alone. Cases: a null text is empty and has no spans; a null doc_id stays null; repeated rows count each, in
-    training too; without any span nothing is trained or added; an empty table gives an empty table; other columns
-    are left alone.
+    spans alone. The texts are scanned once, whole; what is found is staged for training and for the result. Cases: a
+    null text is empty and has no spans; a null doc_id stays null; repeated rows count each, in training too; without
+    any span nothing is trained or added; an empty table gives an empty table; other columns are left alone.
     """
-    model = fit(docs)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            for t in batch.column("text"):
-                text = t.as_py() or ""
-                base, extra, starts = _all(text)
-                spans = sorted(base + [s for s in extra if model.accepts(features(text, s, starts))])
-                n = Counter(k for _, k, _ in base)
-                for c, x in zip(cols, (n[0], n[1], n[2], n[3], hashlib.sha256(written(base).encode()).hexdigest(), written(spans))):
-                    c.append(x)
-            arrays = [*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.string()) for c in cols[4:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(scan, SCHEMA)
+    scanned = staged(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(_scan, SCHEMA), "spans")
+    model = fit(scanned)
+    # which of the features seen the classifier accepts, as numbers; base kinds stay in any case
+    kinds = F.array(*[F.lit(k) for k in KINDS])
+    accepted = model.accepted()
+    mask = bytearray(max(accepted, default=0) + 1)
+    for x in accepted:
+        mask[x] = 1
+    yes = lambda s: F.substr(F.lit(mask), code(s["f"]) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    keep = lambda s: (s["kind"] < len(BASE)) | yes(s)
+    text = F.transform(F.filter("spans", keep), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string")))
+    return scanned.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.array_join(text, ",").alias("spans"))
 
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
