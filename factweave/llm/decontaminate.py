@@ -85,14 +85,15 @@ def leaks(docs: DataFrame, items: DataFrame, k: int = K, share: float = SHARE, b
     shingles are those of all its rows; a null doc_id is a document like any other, and so are items. Repeated rows
     add nothing. An empty table gives no rows.
     """
-    parts = item_shingles(items, k, share)
+    parts = staged(item_shingles(items, k, share), "items")
     counts = parts.groupBy("width").count().collect()  # at most k rows
     widths = sorted({r["width"] for r in counts}) or [k]
-    text = docs.select(F.col("doc_id").alias("doc"), words_of(lower_ascii(text_of())).alias("w"))
-    pairs = candidates(text, parts, widths, broadcast_rows)
+    docs = docs.select(F.col("doc_id").alias("doc"), "text")
+    words = words_of(lower_ascii(text_of())).alias("w")
+    pairs = candidates(docs.select("doc", words), parts, widths, broadcast_rows)
     ids = staged(pairs.select(F.col("doc").alias("c_doc")).distinct(), "found")
-    text = text.join(_small(ids, ids.count(), broadcast_rows), F.col("doc").eqNullSafe(F.col("c_doc")), "left_semi")
-    hits = _hits(text, _small(parts.drop("in_sketch"), sum(r["count"] for r in counts), broadcast_rows), widths)
+    docs = docs.join(_small(ids, ids.count(), broadcast_rows), F.col("doc").eqNullSafe(F.col("c_doc")), "left_semi")
+    hits = _hits(docs.select("doc", words), _small(parts.drop("in_sketch"), sum(r["count"] for r in counts), broadcast_rows), widths)
     pairs = pairs.withColumnsRenamed({"doc": "c_doc", "item": "c_item"})
     hits = hits.join(pairs, F.col("doc").eqNullSafe(F.col("c_doc")) & F.col("item").eqNullSafe(F.col("c_item")), "left_semi")
     found = hits.groupBy("doc", "item", "size", "need").agg(F.count_distinct("h").alias("shared")).where(F.col("shared") >= F.col("need"))
