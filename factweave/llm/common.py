@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +21,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-_MADE: list[str] = []
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +40,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         base = f"file://{tempfile.mkdtemp(prefix='factweave-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return path
 
 
-def drop_folders(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
-    """Delete the shared folders that this process has made after the first ``since``; frames that read them end with that."""
-    paths = _MADE[since : len(_MADE) - keep_last]
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete shared folders; frames that read them end with that."""
     for path in paths:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        _MADE.remove(path)
 
 
-def folders_made() -> int:
-    return len(_MADE)
+@contextmanager
+def scratch(spark: SparkSession, keep_last: bool = False) -> Iterator[list[str]]:
+    """The shared folders that are made within, by this thread, are deleted at the end, but the last one with ``keep_last``.
+
+    Operators return frames that read such folders: write their result within, and it will outlive them.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield made
+    except BaseException:
+        keep_last = False
+        raise
+    finally:
+        _MADE.reset(token)
+        delete(spark, made[: len(made) - keep_last])
 
 
 def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
 from . import chat, decontaminate, line_dedup, mixing, ngram_join, pii, quality, secrets, toxicity, urls
 
 
@@ -23,7 +21,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_personal_data": pii.op10_personal_data,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -443,6 +443,41 @@ def test_branches_with_other_labels_stay_apart(spark):
 # pipeline
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, docs, odd, tmp_path):
+    """Nulls, empty and repeated rows, very long texts, clashing columns, empty tables: every stage has a defined result."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(3, 0)], "doc_id long, toxic int").selectExpr("*", "1 text", "2 l_id").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "q r s t u v w x y z"), (2, None)], "item_id long, text string").selectExpr("*", "1 doc_id", "2 size").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rnd = random.Random(8)
+    long = prose(rnd, 60_000)
+    rows = odd + [(50, long), (51, long), (52, long + " and more"), (53, "q r s t u v w x y z " + prose(rnd, 300)), (54, "\n".join(prose(rnd, 8) for _ in range(5000)))]
+    for name, rows_, left in (("odd", rows, {1, 2, None, 3, 4, 5, 6, 7, 50, 54}), ("none", [], set())):
+        folder = tmp_path / name
+        docs(rows_, True).write.parquet(str(folder / "documents.parquet")) if rows_ else docs(odd, True).limit(0).write.parquet(str(folder / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(str(tmp_path / f"{t}.parquet")).write.parquet(str(folder / f"{t}.parquet"))
+        out = corpus_pipeline.run(spark, str(folder))
+        columns = docs(odd, True).columns
+        assert out.columns == [*columns, "slot_", "pos_"] and {r["doc_id"] for r in out.collect()} == left
+        assert out.where("slot <> 'x' or row <> 'x' or _keep <> 'x'").count() == 0
+
+
+def test_scratch_folders_are_deleted(spark, docs, odd):
+    import os
+
+    from factweave.llm import line_dedup
+    from factweave.llm.common import scratch
+
+    with scratch(spark) as made:
+        line_dedup.line_dedup(docs(odd)).collect()
+        with scratch(spark) as inner:
+            line_dedup.line_dedup(docs(odd)).collect()
+        assert len(inner) == len(made) > 1 and not any(os.path.exists(p.removeprefix("file://")) for p in inner)
+        assert all(os.path.exists(p.removeprefix("file://")) for p in made)
+    assert not any(os.path.exists(p.removeprefix("file://")) for p in made)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
