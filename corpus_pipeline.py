@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes to the cluster's shared folder and
 reads again as the next stage's documents.
+
+Cases: each stage's docstring gives its result for nulls, empty and very long texts, ties, repeated rows and columns
+with names of its own; all columns of the documents come through. An empty table of documents gives an empty table, and
+with no usable labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from factweave.llm.common import drop_folders, folders_made, staged, table
+from factweave.llm.common import delete, scratch, staged, table
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -24,8 +28,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = table(spark, sf_dir, "documents"), folders_made()
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
-        drop_folders(spark, before, keep_last=True)  # all but the stage's result, once that is written
+        with scratch(spark, keep_last=True) as made:  # of a stage's folders its result stays, until the next one is written
+            docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+        delete(spark, before)
+        before = made[-1:]
     return docs
