@@ -40,7 +40,7 @@ LEAST_ROWS, LEAST_Z, LEAST_SHARE = 5, 6.0, 0.8
 #: A toxic text that is missed costs as much as so many clean ones that are rejected.
 MISS_COST = 3.0
 #: Distinct words whose gains a worker remembers; bytes that a match has at least.
-REMEMBERED, MATCH = 1_000_000, 4
+REMEMBERED, MATCH = 250_000, 4
 
 _SPLIT = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r.,!?;:\"'()[]{}#*$%&|<>"})
 
@@ -176,9 +176,8 @@ class Model:
                 t, o = self._pair
                 framed = [f[:LEAD] + window + f for f in self._frames]
                 found = sum(len(o(x)) - len(t(x)) for x in framed) / len(framed)
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[word] = found
+            if len(self._known) < REMEMBERED:  # the first ones met are mostly the frequent ones
+                self._known[word] = found
         return found
 
     def _features(self, text: str | None) -> list[float]:
