@@ -30,6 +30,9 @@ class Engine:
     def health(self) -> dict:
         return self.docs.health()
 
+    def compact(self) -> None:
+        self.docs.compact()
+
     def put(self, entity: str, doc_id: str, doc: bytes) -> None:
         self.docs.put(entity, doc_id, doc)
 
@@ -60,6 +63,10 @@ class Engine:
     def cluster_query(self, entity: str, item_id: str, types: list[str], window: int, min_size: int) -> DataFrame:
         return temporal.cluster_query(self.docs.facts(entity), window, min_size, types, item_id)
 
+    def cluster_members(self, entity: str, item_id: str, types: list[str], window: int, min_size: int) -> DataFrame:
+        """The events of each cluster, which ``cluster`` numbers as in ``cluster_query``."""
+        return temporal.cluster_members(self.docs.facts(entity), window, min_size, types, item_id)
+
     def sequence_join(self, entity: str, items: list[str], steps: list[str], window: int) -> DataFrame:
         """No items are all items."""
         return temporal.sequence_join(self.docs.facts(entity), steps, window, items or None)

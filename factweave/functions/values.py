@@ -67,6 +67,7 @@ class Value:
     num: Column | None = None
     flag: Column | None = None
     nil: Column | None = None
+    may_be_nan: bool = False
 
     @staticmethod
     def literal(x) -> Value:
@@ -75,14 +76,14 @@ class Value:
         if isinstance(x, bool):
             return Value("bool", F.lit(x))
         if isinstance(x, (int, float)):
-            return Value("number", F.lit(x))
+            return Value("number", F.lit(x), may_be_nan=x != x)
         if isinstance(x, str):
             return Value("string", F.lit(x))
         return Value("other", F.lit(None))
 
     @staticmethod
     def column(c: Column, data_type: T.DataType) -> Value:
-        return Value(column_kind(data_type), c)
+        return Value(column_kind(data_type), c, may_be_nan=isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType))
 
     def parts(self) -> tuple[Column, Column, Column, Column]:
         """Text, number, flag and whether it is null."""
@@ -113,17 +114,25 @@ def dynamic(choices: list[tuple[Column, Value]], otherwise: Value | None) -> Val
         return out.otherwise(of(otherwise)) if otherwise is not None else out
 
     if len(kinds) == 1 and "dynamic" not in kinds and all(v.kind != "null" for v in values):
-        return Value(kinds.pop(), pick(lambda v: v.out))
+        return Value(kinds.pop(), pick(lambda v: v.out), may_be_nan=any(v.may_be_nan for v in values))
     text, num, flag, nil = (pick(lambda v, i=i: v.parts()[i]) for i in range(4))
     return Value("dynamic", F.coalesce(text, number_text_udf(num), flag.cast("string")), text, num, flag, nil)
 
 
+def numbers(a: Value, b: Value, test: Column) -> Column:
+    """``test``, false where one of the two is not a number at all: Spark holds NaN for the largest."""
+    for v in (a, b):
+        if v.may_be_nan:
+            test = test & ~F.isnan(v.out)
+    return test
+
+
 def equal(a: Value, b: Value) -> Column:
-    """Typed equality: numbers as doubles, null equals null, no text equals a number; may be null where false is meant."""
+    """Typed equality: numbers as doubles, null equals null, no text equals a number, NaN equals nothing; may be null where false is meant."""
     if "other" in (a.kind, b.kind):
         return F.lit(False)
     if a.kind == b.kind != "dynamic":
-        return F.lit(True) if a.kind == "null" else a.out.eqNullSafe(b.out)
+        return F.lit(True) if a.kind == "null" else numbers(a, b, a.out.eqNullSafe(b.out))
     if "dynamic" not in (a.kind, b.kind):
         if "null" in (a.kind, b.kind):
             return (b if a.kind == "null" else a).out.isNull()

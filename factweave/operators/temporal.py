@@ -1,10 +1,14 @@
 """Event-log operators: ordered reads, sequences and clusters. Events go by (at, doc_id) within an item.
 
-Windows partitioned by item spill; nothing gathers an item's whole log in one row but a cluster's own burst.
+Windows partitioned by item spill; nothing gathers an item's whole log in one row.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,40 +52,58 @@ def sequence_join(facts: FactTable | DocTable, steps: list[str], window: int = 0
     return first.select("item_id", *[F.col("c")[i]["at"].alias(f"at_{i}") for i in range(n)], *[F.col("c")[i]["doc_id"].alias(f"doc_{i}") for i in range(n)])
 
 
-def _bursts(rows: DataFrame, window: int) -> DataFrame:
-    """With ``burst``: it changes where two events are more than ``window`` apart, which no cluster can span."""
-    w = Window.partitionBy("item_id").orderBy("at", "doc_id")
-    rows = rows.withColumn("gap", F.coalesce((F.col("at") - F.lag("at").over(w) > window).cast("long"), F.lit(0)))
-    return rows.withColumn("burst", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+def _clustered(rows: DataFrame, window: int, min_size: int) -> DataFrame:
+    """(item_id, cluster, at, doc_id): every event of every cluster, clusters numbered from 0 within their item.
 
+    One pass over each item's events in their order. What is held is an item's open cluster while it has fewer than
+    ``min_size`` events; later members go out at once, so a log of any length and steadiness takes bounded memory.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item, few, start, n, number = None, deque(), 0, 0, 0  # the open cluster: its events while too few, its start and size
+        for batch in batches:
+            out: list[tuple] = []
+            for key, at, doc in zip(*(batch.column(c).to_pylist() for c in ("item_id", "at", "doc_id"))):
+                if key != item:
+                    item, n, number = key, 0, 0
+                    few.clear()
+                if n >= min_size and 0 < window < at - start:  # the open cluster is complete
+                    n, number = 0, number + 1
+                    few.clear()
+                if n >= min_size:
+                    n += 1
+                    out.append((item, number, at, doc))
+                    continue
+                few.append((at, doc))
+                while 0 < window < at - few[0][0]:  # too few by now: the search goes on at the next event
+                    few.popleft()
+                start, n = few[0][0], len(few)
+                if n >= min_size:
+                    out += [(item, number, a, d) for a, d in few]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, (batch.schema.field("item_id").type, pa.int64(), pa.int64(), batch.schema.field("doc_id").type))], names=["item_id", "cluster", "at", "doc_id"])
+
+    types = dict(rows.dtypes)
+    rows = rows.select("item_id", F.col("at").cast("long").alias("at"), "doc_id").repartition("item_id").sortWithinPartitions("item_id", "at", "doc_id")
+    return rows.mapInArrow(fold, f"item_id {types['item_id']}, cluster long, at long, doc_id {types['doc_id']}")
 
-def cluster_query(facts: FactTable | DocTable, window: int, min_size: int = 1, types: list[str] = (), item_id=None) -> DataFrame:
-    """(item_id, first_at, last_at, n): greedy clusters of at least ``min_size`` events within ``window`` nanoseconds.
+
+def cluster_members(facts: FactTable | DocTable, window: int, min_size: int = 1, types: list[str] = (), item_id=None) -> DataFrame:
+    """(item_id, cluster, at, doc_id): the events of greedy clusters of at least ``min_size`` events within ``window`` nanoseconds.
 
     From an event as many as possible follow that are at most ``window`` after it; if they are enough they are a
     cluster and the search goes on behind them, else at the next event. A window of 0 or less has no bound, so that an
-    item is one cluster. Bursts that a larger gap separates are independent, and each is folded for itself.
+    item is one cluster. Clusters are numbered from 0 within their item, in the order of time.
     """
-    min_size = max(1, min_size)
     rows = facts.events()
     if types:
         rows = rows.where(F.col("type").isin(*types))
     if item_id is not None:
         rows = rows.where(F.col("item_id") == item_id)
-    if window <= 0:
-        out = rows.groupBy("item_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))
-        return out.where(F.col("n") >= min_size)
-    log = _bursts(rows, window).groupBy("item_id", "burst").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    log = log.where(F.size("ats") >= min_size)
-    # State: the open cluster's start, end and size, its events while they are too few, and the clusters that are closed.
-    closed = "array(named_struct('first_at', s.few[0], 'last_at', s.last, 'n', s.n))"
-    folded = F.expr(f"""aggregate(
-        ats,
-        named_struct('few', cast(array() as array<bigint>), 'last', 0L, 'n', 0L, 'done', cast(array() as array<struct<first_at: bigint, last_at: bigint, n: bigint>>)),
-        (s, x) -> if(s.n = 0 or x - s.few[0] <= {window}L,
-            named_struct('few', if(s.n < {min_size}, concat(s.few, array(x)), s.few), 'last', x, 'n', s.n + 1L, 'done', s.done),
-            if(s.n >= {min_size},
-                named_struct('few', array(x), 'last', x, 'n', 1L, 'done', concat(s.done, {closed})),
-                named_struct('few', concat(filter(s.few, y -> x - y <= {window}L), array(x)), 'last', x, 'n', size(filter(s.few, y -> x - y <= {window}L)) + 1L, 'done', s.done))),
-        s -> if(s.n >= {min_size}, concat(s.done, {closed}), s.done))""")
-    return log.select("item_id", F.inline(folded))
+    return _clustered(rows, window, max(1, min_size))
+
+
+def cluster_query(facts: FactTable | DocTable, window: int, min_size: int = 1, types: list[str] = (), item_id=None) -> DataFrame:
+    """(item_id, cluster, first_at, last_at, n) of the clusters of ``cluster_members``."""
+    rows = cluster_members(facts, window, min_size, types, item_id)
+    return rows.groupBy("item_id", "cluster").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count(F.lit(1)).alias("n"))

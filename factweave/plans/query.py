@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidValue
-from ..functions.values import Value, dynamic, equal
+from ..functions.values import Value, dynamic, equal, numbers
 from ..sources.facts import DocTable, FactTable
 
 
@@ -112,7 +112,7 @@ def _one(facts: Facts, clause: Any, env: Env, bare: bool) -> tuple[Column, Env]:
         # A column equal to a literal is there; the bare comparison is what the scan understands.
         wanted = Value.literal(clause.value)
         if value.kind == wanted.kind and value.kind in ("string", "number", "bool"):
-            return _false_for_null(value.out == wanted.out, bare), env
+            return _false_for_null(numbers(value, wanted, value.out == wanted.out), bare), env
         return present & _false_for_null(equal(value, wanted), bare), env
     if isinstance(clause, Predicate):
         left, right = _term(clause.left, env), _term(clause.right, env)
@@ -123,7 +123,7 @@ def _one(facts: Facts, clause: Any, env: Env, bare: bool) -> tuple[Column, Env]:
         if clause.op in NUMERIC:
             if {left.kind, right.kind} - {"number", "dynamic"}:
                 return F.lit(False), env
-            return _false_for_null(NUMERIC[clause.op](_number(left), _number(right)), bare), env
+            return _false_for_null(numbers(left, right, NUMERIC[clause.op](_number(left), _number(right))), bare), env
         if clause.op in STRING:
             if {left.kind, right.kind} - {"string", "dynamic"}:
                 return F.lit(False), env
@@ -169,7 +169,7 @@ def query(facts: Facts, where: list, find: list[str] = (), aggregates: list[Agg]
 
     One top-level Pattern with a literal value, an anchor, is required. Columns are named like the variables, without
     the question mark; a variable that nothing binds is null. count is a double, sums and averages of nothing are 0,
-    min and max null; they see numbers only. Without ``group_by`` aggregates give exactly one row. ``ordered`` sorts
+    min and max null; they see numbers only, and NaN is none. Without ``group_by`` aggregates give exactly one row. ``ordered`` sorts
     by document id, or by group.
     """
     if not any(isinstance(c, Pattern) and not isinstance(c.value, Var) and c.value is not ANY for c in where):
@@ -185,7 +185,7 @@ def query(facts: Facts, where: list, find: list[str] = (), aggregates: list[Agg]
             rows = rows.orderBy(facts.id_value().out)
         return rows.select(*[(env[v].out if v in env else F.lit(None).cast("string")).alias(name(v)) for v in find])
     keys = {v: env[v].out if v in env else F.lit(None).cast("string") for v in group_by}
-    nums = {a.over: env[a.over].number() if a.over in env else F.lit(None).cast("double") for a in aggregates}
+    nums = {a.over: F.nanvl(env[a.over].number(), F.lit(None).cast("double")) if a.over in env else F.lit(None).cast("double") for a in aggregates}
     rows = rows.select(*[c.alias(f"k{i}") for i, c in enumerate(keys.values())], *[c.alias(f"n{i}") for i, c in enumerate(nums.values())])
     at = {v: f"n{i}" for i, v in enumerate(nums)}
     fns = {"count": lambda c: F.count(F.lit(1)).cast("double"), "sum": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "avg": lambda c: F.coalesce(F.avg(c), F.lit(0.0)), "min": F.min, "max": F.max}

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import ClosureCycle
 from .functions import extract
 from .operators import closure, lookup, rollup, temporal, vector
 from .plans.query import Agg, FullText, Not, Or, Pattern, Predicate, Var, query
+from .sources.docstore import DocStore
 from .sources.facts import DocTable, FactTable
+from .sources.vectorstore import VectorStore
 from .streaming import changes
 
 DAY = 86_400 * 10**9
@@ -81,7 +86,116 @@ def _change_rows(rows: DataFrame) -> DataFrame:
 
 
 def _clusters(rows: DataFrame) -> DataFrame:
-    return rows.select("item_id", "first_at", "last_at", F.col("n").cast("long").alias("n"))
+    return rows.select("item_id", "cluster", "first_at", "last_at", F.col("n").cast("long").alias("n"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a store, below the folder that the cluster shares; a temporary one where none is named, on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _customers(spark: SparkSession, d: str) -> DocStore:
+    """Customers as JSON documents of their nations' tenants, loaded in bulk."""
+    store = DocStore(spark, _folder(spark, "customers"))
+    c = _read(spark, d, "customer")
+    doc = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.concat(F.lit("c"), (F.col("c_custkey") % 97).cast("string")).alias("parent")))
+    store.put_rows(c.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("entity_id"), F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("doc_id"), doc.cast("binary").alias("doc")))
+    return store
+
+
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.col("doc").cast("string").alias("doc"))
+
+
+def store_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _texts(_customers(spark, d).scan("n7"))
+
+
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Some puts, a delete and a snapshot after the bulk load."""
+    store = _customers(spark, d)
+    store.batch_put("n7", {"extra": b"one", "more": b"two"})
+    store.compact()
+    store.delete("n7", "extra")
+    store.put("n7", "more", b"three")
+    return store.current("n7").select("doc_id", F.col("doc").cast("string").alias("doc"), "version")
+
+
+def store_get(spark: SparkSession, d: str) -> DataFrame:
+    store = _customers(spark, d)
+    store.put("n7", "extra", b"one")
+    return spark.createDataFrame([(store.get("n7", "extra").decode(),)], "doc string")
+
+
+def _log_store(spark: SparkSession, d: str) -> DocStore:
+    store = DocStore(spark, _folder(spark, "orders"))
+    store.put_changes(order_log(spark, d))
+    return store
+
+
+def store_versions(spark: SparkSession, d: str) -> DataFrame:
+    return _log_store(spark, d).current().select("doc_id", F.col("doc").cast("string").alias("doc"), "version")
+
+
+def doc_latest_version(spark: SparkSession, d: str) -> DataFrame:
+    store = _log_store(spark, d)
+    store.compact()
+    return _texts(store.latest("tenant-a"))
+
+
+def _vector_store(spark: SparkSession, d: str) -> VectorStore:
+    store = VectorStore(spark, _folder(spark, "vectors"))
+    store.insert_rows(vectors(spark, d).select(F.lit("tenant-a").alias("entity_id"), F.col("label").cast("string").alias("scope"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("id"), "vec"), "euclidean")
+    return store
+
+
+def vector_scopes(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_store(spark, d).scopes("tenant-a").select("scope", F.col("dim").cast("long").alias("dim"), "n", "metric")
+
+
+def vector_store_search(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest in the first scope, after a delete there and a drop of all other scopes."""
+    store = _vector_store(spark, d)
+    scopes = [r["scope"] for r in store.scopes("tenant-a").collect()]
+    first = store.search("tenant-a", scopes[0], _first_vector(spark, d), 1).first()["id"]
+    store.delete("tenant-a", scopes[0], first)
+    for scope in scopes[1:3]:
+        store.drop_scope("tenant-a", scope)
+    near = store.search("tenant-a", scopes[0], _first_vector(spark, d), 5)
+    return _rounded(near.crossJoin(F.broadcast(store.scopes("tenant-a").agg(F.count(F.lit(1)).alias("scopes")))))
+
+
+def closure_cycle(spark: SparkSession, d: str) -> DataFrame:
+    """Whether edges of the hierarchy, with one more, are refused."""
+    rows = []
+    for name, child, parent in (("open", "r1", "top"), ("closed", "r1", "c1"), ("self", "r1", "r1")):
+        edges = hierarchy(spark, d).unionByName(spark.createDataFrame([(child, parent)], "doc_id string, parent string"))
+        region = edges.where("doc_id = 'c1'").join(edges.selectExpr("doc_id n", "parent p"), F.col("parent") == F.col("n")).first()["p"]
+        edges = edges.where("doc_id <> 'r1'").unionByName(spark.createDataFrame([(region, region if parent == child else parent)], "doc_id string, parent string"))
+        try:
+            closure.check_edges(edges, _folder(spark, "edges"))
+            rows.append((name, False))
+        except ClosureCycle:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "edge string, refused boolean")
+
+
+def event_docs(spark: SparkSession, d: str) -> DocTable:
+    """Events as JSON documents, their times as RFC 3339 texts."""
+    at = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    doc = F.to_json(F.struct(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("item_id"), F.col("event_type").alias("type"), at.alias("at"), "value"))
+    return DocTable(_read(spark, d, "events").select(F.col("event_id").cast("string").alias("doc_id"), doc.cast("binary").alias("doc")), "tenant-a")
+
+
+def q_doc_bindings(spark: SparkSession, d: str) -> DataFrame:
+    """Entities, bindings and comparisons in document mode, in the order of ids."""
+    where = [Pattern("type", "purchase"), Pattern("item_id", Var("?user")), Pattern("value", Var("?v")), Predicate(">=", Var("?v"), 40), Not([Predicate("ends_with", Var("?user"), "3")])]
+    return query(event_docs(spark, d), where, ["?e", "?user"], ordered=True)
 
 
 def _knn_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -177,11 +291,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "knn_cosine": lambda s, d: _rounded(vector.knn(vectors(s, d), _first_vector(s, d), 10)),
     "knn_euclidean": lambda s, d: _rounded(vector.knn(vectors(s, d), _first_vector(s, d), 10, "euclidean")),
     "knn_batch": lambda s, d: _rounded(vector.knn_batch(vectors(s, d), _knn_queries(s, d), 5, "euclidean").select("query_id", "id", "dist", F.col("rank").cast("long").alias("rank"))),
-    "vector_scopes": lambda s, d: vectors(s, d).groupBy(F.col("label").alias("scope")).agg(F.max(F.size("vec")).cast("long").alias("dim"), F.count(F.lit(1)).alias("n")),
+    "vector_scopes": vector_scopes,
     "change_events": lambda s, d: _change_rows(changes.change_events(order_log(s, d))),
     "subscribe_filter": lambda s, d: _change_rows(changes.filtered(changes.change_events(order_log(s, d)), "tenant-a", "1")),
-    "scan": lambda s, d: customer(s, d).df.select("c_custkey", "c_name"),
-    "doc_latest_version": lambda s, d: order_log(s, d).groupBy("doc_id").agg(F.max_by(F.struct(F.col("op"), F.col("doc").cast("string").alias("doc")), "seq").alias("x")).where("x.op = 'put'").select("doc_id", "x.doc"),
+    "scan": store_scan,
+    "store_get": store_get,
+    "store_delete": store_delete,
+    "store_versions": store_versions,
+    "vector_store_search": vector_store_search,
+    "closure_cycle": closure_cycle,
+    "cluster_members": lambda s, d: temporal.cluster_members(events(s, d), DAY, 3),
+    "q_doc_bindings": q_doc_bindings,
+    "window_query_docs": lambda s, d: temporal.window_query(event_docs(s, d), "u3", ["click", "view"]),
+    "last_seen_docs": lambda s, d: rollup.last_seen(event_docs(s, d)),
+    "group_count_docs": lambda s, d: rollup.group_count(event_docs(s, d), "u3", "type", "purchase"),
+    "term_changes": lambda s, d: changes.term_changes(changes.change_events(order_log(s, d).withColumn("doc", F.when(F.col("doc").isNotNull(), F.concat(F.lit('{"s":"'), F.col("doc").cast("string"), F.lit('"}')).cast("binary"))))).select(
+        "kind", "doc_id", "seq", F.array_join(F.array_sort("added"), ",").alias("added"), F.array_join(F.array_sort("removed"), ",").alias("removed")),
+    "doc_latest_version": doc_latest_version,
     "set_intersect": lambda s, d: lookup.intersect(lookup.lookup(part(s, d), "Brand#13"), lookup.lookup_range(part(s, d), "p_size", 1, 20)),
     "set_union": lambda s, d: lookup.union(lookup.lookup(part(s, d), "Brand#13"), lookup.lookup_range(part(s, d), "p_size", 1, 3)),
     "set_difference": lambda s, d: lookup.difference(lookup.lookup(part(s, d), "Brand#13"), lookup.lookup_range(part(s, d), "p_size", 1, 20)),
@@ -223,7 +349,15 @@ r AS (SELECT item_id, "at", i, i + count(*) OVER (PARTITION BY item_id ORDER BY
   - (i - min(i) OVER (PARTITION BY item_id, "at")) - 1 AS j FROM n),
 c(item_id, i) AS (SELECT item_id, 1::BIGINT FROM r WHERE i = 1 UNION ALL
   SELECT c.item_id, CASE WHEN r.j - r.i + 1 >= {min_size} THEN r.j + 1 ELSE r.i + 1 END FROM c JOIN r USING (item_id, i))
-SELECT r.item_id, r."at" AS first_at, e."at" AS last_at, (r.j - r.i + 1)::BIGINT AS n FROM c JOIN r USING (item_id, i) JOIN n e ON e.item_id = r.item_id AND e.i = r.j WHERE r.j - r.i + 1 >= {min_size}"""
+SELECT r.item_id, row_number() OVER (PARTITION BY r.item_id ORDER BY r.i) - 1 AS cluster, r."at" AS first_at, e."at" AS last_at, (r.j - r.i + 1)::BIGINT AS n FROM c JOIN r USING (item_id, i) JOIN n e ON e.item_id = r.item_id AND e.i = r.j WHERE r.j - r.i + 1 >= {min_size}"""
+
+
+def _members(window: int, min_size: int) -> str:
+    whole = _cluster(window, min_size)
+    at = whole.rindex("SELECT r.item_id, row_number()")
+    found = f"f AS (SELECT item_id, i AS lo, j AS hi, row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS cluster FROM c JOIN r USING (item_id, i) WHERE j - i + 1 >= {min_size})"
+    ids = 'm AS (SELECT item_id, "at", doc_id, row_number() OVER (PARTITION BY item_id ORDER BY "at", doc_id) AS i FROM ev)'
+    return f'{whole[:at].rstrip()}, {found}, {ids} SELECT item_id, cluster, "at", doc_id FROM f JOIN m USING (item_id) WHERE i BETWEEN lo AND hi'
 
 
 _EDGES = """e(doc_id, parent) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
@@ -233,6 +367,7 @@ _Q0 = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 _LOG = "log AS (SELECT o_custkey::VARCHAR AS doc_id, o_orderkey AS seq, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS doc FROM orders)"
 _CHANGES = f"""WITH {_LOG}, w AS (SELECT *, lag(doc) OVER (PARTITION BY doc_id ORDER BY seq) AS old FROM log)
 SELECT CASE WHEN doc IS NULL THEN 'retract' WHEN old IS NULL THEN 'assert' ELSE 'change' END AS kind, doc_id, old, doc AS new, seq FROM w WHERE (doc IS NOT NULL OR old IS NOT NULL)"""
+_CUSTOMERS = """SELECT 'd' || c_custkey AS doc_id, '{"name":"' || c_name || '","segment":"' || c_mktsegment || '","parent":"c' || (c_custkey % 97) || '"}' AS doc FROM customer WHERE c_nationkey = 7"""
 _RANGE = "SELECT DISTINCT l_orderkey AS doc_id FROM lineitem WHERE l_quantity"
 
 
@@ -293,7 +428,7 @@ SQL: dict[str, str] = {
     "sequence_unbounded": _sequence(["signup", "error", "signup"], 0),
     "sequence_items": _sequence(["click", "view"], DAY, " AND item_id IN (1, 3, 5)"),
     "cluster_query": _cluster(DAY, 3),
-    "cluster_unbounded": f"WITH {_EV} SELECT item_id, min(\"at\") AS first_at, max(\"at\") AS last_at, count(*) AS n FROM ev GROUP BY item_id HAVING count(*) >= 2",
+    "cluster_unbounded": f"WITH {_EV} SELECT item_id, 0 AS cluster, min(\"at\") AS first_at, max(\"at\") AS last_at, count(*) AS n FROM ev GROUP BY item_id HAVING count(*) >= 2",
     "cluster_types": _cluster(3 * DAY, 2, "WHERE type IN ('purchase', 'error')"),
     "ancestors": f"{_CLOSURE} SELECT ancestor, depth FROM c WHERE doc_id = 'c1'",
     "descendants": f"{_CLOSURE} SELECT doc_id, depth FROM c WHERE ancestor = 'r1'",
@@ -302,10 +437,26 @@ SQL: dict[str, str] = {
     "knn_euclidean": f"SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]) + 1e-7, 4) AS dist FROM embeddings ORDER BY list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]), vec_id LIMIT 10",
     "knn_batch": """SELECT query_id, id, round(d + 1e-7, 4) AS dist, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS d,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
-    "vector_scopes": "SELECT label AS scope, max(len(embedding)) AS dim, count(*) AS n FROM embeddings GROUP BY label",
+    "vector_scopes": "SELECT label::VARCHAR AS scope, max(len(embedding)) AS dim, count(*) AS n, 'euclidean' AS metric FROM embeddings GROUP BY label",
     "change_events": _CHANGES,
     "subscribe_filter": f"{_CHANGES} AND starts_with(doc_id, '1')",
-    "scan": "SELECT c_custkey, c_name FROM customer",
+    "scan": f"SELECT doc_id, doc FROM ({_CUSTOMERS})",
+    "store_get": "SELECT 'one' AS doc",
+    "store_delete": f"SELECT doc_id, doc, 1 AS version FROM ({_CUSTOMERS}) UNION ALL SELECT 'more', 'three', 2",
+    "store_versions": f"""WITH {_LOG}, l AS (SELECT *, sum((doc IS NULL)::INT) OVER (PARTITION BY doc_id ORDER BY seq) AS life, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS nth FROM log)
+        SELECT doc_id, doc, (SELECT count(*) FROM l p WHERE p.doc_id = l.doc_id AND p.life = l.life AND p.doc IS NOT NULL) AS version FROM l WHERE nth = 1 AND doc IS NOT NULL""",
+    "vector_store_search": f"""WITH s AS (SELECT DISTINCT label::VARCHAR AS scope FROM embeddings),
+        v AS (SELECT 'v' || vec_id AS id, list_distance(embedding::DOUBLE[], {_Q0}::DOUBLE[]) AS d FROM embeddings WHERE label::VARCHAR = (SELECT min(scope) FROM s)),
+        n AS (SELECT *, row_number() OVER (ORDER BY d, id) AS nth FROM v)
+        SELECT id, round(d + 1e-7, 4) AS dist, (SELECT count(*) FROM s) - least(2, (SELECT count(*) FROM s) - 1) AS scopes FROM n WHERE nth BETWEEN 2 AND 6""",
+    "closure_cycle": "SELECT * FROM (VALUES ('open', false), ('closed', true), ('self', true)) t(edge, refused)",
+    "cluster_members": _members(DAY, 3),
+    "q_doc_bindings": "SELECT event_id::VARCHAR AS e, 'u' || user_id AS user FROM events WHERE event_type = 'purchase' AND value >= 40 AND NOT suffix(user_id::VARCHAR, '3')",
+    "window_query_docs": f"SELECT 'u' || user_id AS item_id, event_type AS type, {_AT} AS \"at\", event_id::VARCHAR AS doc_id FROM events WHERE user_id = 3 AND event_type IN ('click', 'view')",
+    "last_seen_docs": f"SELECT 'u' || user_id AS item_id, event_type AS type, max({_AT}) AS last_at FROM events GROUP BY ALL",
+    "group_count_docs": f"SELECT count(*) AS n, coalesce(min({_AT}), 0) AS first_at, coalesce(max({_AT}), 0) AS last_at FROM events WHERE user_id = 3 AND event_type = 'purchase'",
+    "term_changes": f"""SELECT kind, doc_id, seq, CASE WHEN new IS NULL OR new IS NOT DISTINCT FROM old THEN '' ELSE concat_ws(',', new, 's:' || new) END AS added,
+        CASE WHEN old IS NULL OR new IS NOT DISTINCT FROM old THEN '' ELSE concat_ws(',', old, 's:' || old) END AS removed FROM ({_CHANGES})""",
     "doc_latest_version": f"WITH {_LOG} SELECT doc_id, doc FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS n FROM log) WHERE n = 1 AND doc IS NOT NULL",
     "set_intersect": "SELECT DISTINCT p_partkey AS doc_id FROM part WHERE p_brand = 'Brand#13' AND p_size BETWEEN 1 AND 20",
     "set_union": "SELECT DISTINCT p_partkey AS doc_id FROM part WHERE p_brand = 'Brand#13' OR p_size BETWEEN 1 AND 3",

@@ -73,9 +73,9 @@ def filtered(events: DataFrame, entity: str = "", prefix: str = "") -> DataFrame
     return events.where(F.col("doc_id").startswith(prefix)) if prefix else events
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """A DocStore's changelog as a stream of its batches."""
-    reader = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+def read_log(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
+    """A DocStore's changelog as a stream of its batches, at most ``files`` of their files at a time."""
+    reader = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files)
     return reader.parquet(f"{path.rstrip('/')}/log")
 
 

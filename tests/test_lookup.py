@@ -1,4 +1,6 @@
 import math
+import random
+from collections import defaultdict
 
 import pytest
 
@@ -12,61 +14,94 @@ def ids(df):
     return sorted(r[0] for r in df.collect())
 
 
-@pytest.fixture()
-def vehicles(docs_of):
-    return docs_of({"d1": {"status": "active", "category": "truck", "km": 45000}, "d2": {"status": "sold", "category": "trailer", "km": 10}, "d3": {"category": "car"}, "raw": b"not json at all"})
-
-
-def test_document_mode(vehicles):
-    assert ids(L.lookup(vehicles, "status:active")) == ["d1"] and ids(L.lookup(vehicles, "45000")) == ["d1"] and ids(L.lookup(vehicles, "none")) == []
-    assert ids(L.lookup_prefix(vehicles, "category:tr")) == ["d1", "d2"] and ids(L.lookup_prefix(vehicles, "")) == ["d1", "d2", "d3"]
-    assert ids(L.lookup_range(vehicles, "km", 0, 100)) == ["d2"]
-
-
-@pytest.mark.parametrize(("low", "high", "open_low", "open_high", "want"), [(20, 40, False, False, [2, 3, 4]), (20, 40, True, False, [3, 4]), (20, 40, False, True, [2, 3]), (20, 40, True, True, [3]), (100, 200, False, False, []), (30, 30, False, False, [3]), (50, 10, False, False, [])])
-def test_ranges(spark, low, high, open_low, open_high, want):
-    t = FactTable.of(spark.createDataFrame([(i, i * 10.0) for i in range(1, 6)], "id long, km double"), "id")
-    assert ids(L.lookup_range(t, "km", low, high, open_low, open_high)) == want
-
-
-def test_bounds_are_finite(vehicles):
+def plants(n=120, seed=81):
+    rnd = random.Random(seed)
+    out = {}
+    for i in range(n):
+        out[f"plant{i}"] = {"genus": rnd.choice(["salvia", "salix", "sedum", "stachys"]), "bed": rnd.choice(["north", "south", "pond"]), "height": rnd.choice([3, 12.5, 40, 180, 2.5e6])}
+        for k in list(out[f"plant{i}"]):
+            if rnd.random() < 0.15:
+                del out[f"plant{i}"][k]
+    return out
+
+
+def test_document_mode_as_by_a_scan(docs_of):
+    docs = plants()
+    d = docs_of(docs | {"noise": b"\xff\xfe", "list": b"[1]"})
+    text = {3: "3", 12.5: "12.5", 40: "40", 180: "180", 2.5e6: "2.5e+06"}
+    terms = {i: {t for k, v in doc.items() for t in (text.get(v, v), f"{k}:{text.get(v, v)}")} for i, doc in docs.items()}
+    for term in ("genus:salix", "salix", "12.5", "height:2.5e+06", "height:2500000", "bed:pond", "moss", "genus:"):
+        assert ids(L.lookup(d, term)) == sorted(i for i in docs if term in terms[i]), term
+    for prefix in ("genus:sal", "s", "height:1", "bed:n", "zz", ""):
+        assert ids(L.lookup_prefix(d, prefix)) == sorted(i for i in docs if any(t.startswith(prefix) for t in terms[i])), prefix
+    assert ids(L.lookup_range(d, "height", 4, 100)) == sorted(i for i, doc in docs.items() if 4 <= doc.get("height", -1) <= 100)
+
+
+def test_ranges_as_by_a_filter(spark):
+    rnd = random.Random(82)
+    values = [rnd.choice([None, math.nan, math.inf, -math.inf, *(round(rnd.uniform(-5, 5)) for _ in range(9))]) for _ in range(80)]
+    t = FactTable.of(spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "id long, depth double"), "id")
+    for _ in range(25):
+        low, high = rnd.randint(-6, 6), rnd.randint(-6, 6)
+        open_low, open_high = rnd.random() < 0.5, rnd.random() < 0.5
+        inside = lambda v: v is not None and math.isfinite(v) and (low < v or (low == v and not open_low)) and (v < high or (v == high and not open_high))
+        assert ids(L.lookup_range(t, "depth", low, high, open_low, open_high)) == [i for i, v in enumerate(values) if inside(v)]
+
+
+def test_bounds_are_finite(docs_of):
+    d = docs_of(plants(3))
     for x in (math.nan, math.inf, -math.inf):
-        with pytest.raises(InvalidValue):
-            L.lookup_range(vehicles, "km", x, 1)
+        for low, high in ((x, 1), (1, x)):
+            with pytest.raises(InvalidValue):
+                L.lookup_range(d, "height", low, high)
 
 
-def test_table_mode(spark):
-    df = spark.createDataFrame([(1, "truck", 45000.0, 7, True), (2, "trailer", 1e6, 8, False), (3, None, None, None, None)], "id long, category string, km double, size int, ok boolean")
-    t = FactTable.of(df, "id")
-    for term, want in (("category:truck", [1]), ("truck", [1]), ("45000", [1]), ("km:45000", [1]), ("45000.0", []), ("km:1e+06", [2]), ("1000000", []), ("size:8", [2]), ("ok:true", [1]), ("false", [2]), ("", [])):
-        assert ids(L.lookup(t, term)) == want, term
-        assert ids(t.terms().where(f"term = '{term}'").select("doc_id").distinct()) == want, term
-    for prefix, want in (("category:tr", [1, 2]), ("tr", [1, 2]), ("km:45", [1]), ("4", [1]), ("", [1, 2]), ("ok:t", [1]), ("cat", [1, 2]), ("zz", [])):
-        assert ids(L.lookup_prefix(t, prefix)) == want, prefix
+def test_table_mode_as_by_its_own_terms(spark):
+    rows = [(1, "opal", 7200.0, 4, True), (2, "onyx", 3e6, 5, False), (3, None, None, None, None), (4, "", -0.5, 4, None)]
+    t = FactTable.of(spark.createDataFrame(rows, "id long, stone string, weight double, grade int, cut boolean"), "id")
+    want = {"opal": [1], "stone:opal": [1], "7200": [1], "weight:7200": [1], "7200.0": [], "weight:3e+06": [2], "3000000": [], "grade:4": [1, 4], "4": [1, 4], "cut:false": [2], "true": [1], "-0.5": [4], "": []}
+    for term, found in want.items():
+        assert ids(L.lookup(t, term)) == found, term
+        assert ids(t.terms().where(f"term = '{term}'").select("doc_id").distinct()) == found, term
+    terms = [(r["doc_id"], r["term"]) for r in t.terms().collect()]
+    for prefix in ("o", "stone:o", "weight:7", "3", "cut:", "grade", "x", ""):
+        assert ids(L.lookup_prefix(t, prefix)) == sorted({i for i, x in terms if x.startswith(prefix)}), prefix
 
 
 def test_sets(spark):
-    a, b = (spark.createDataFrame([(x,) for x in xs], "doc_id long") for xs in ([1, 2, 3], [2, 3, 4]))
-    assert ids(L.intersect(a, b)) == [2, 3] and ids(L.union(a, b)) == [1, 2, 3, 4] and ids(L.difference(a, b)) == [1]
-    assert L.contains(a, 2) and not L.contains(a, 9)
-
-
-def test_group_counts(docs_of):
-    d = docs_of({k: {"item_id": "item-1", "type": "inspect", "at": at, "outcome": o} for k, at, o in (("a", 100, "pass"), ("b", 200, "fail"), ("c", 300, "pass"))} | {"u": {"item_id": "item-1", "outcome": "pass"}, "v": {"outcome": "pass"}})
-    assert tuple(R.group_count(d, "item-1", "type", "inspect").first()) == (3, 100, 300)
-    assert tuple(R.group_count(d, "item-1", "outcome", "pass").first()) == (3, 100, 300)
-    assert tuple(R.group_count(d, "item-1", "outcome", "none").first()) == (0, 0, 0)
-    assert ids(R.group_members(d, "item-1", "outcome", "pass")) == ["a", "c", "u"]
-    assert ("item-1", "outcome", "fail", 1, 200, 200) in map(tuple, R.group_counts(d).collect())
+    rnd = random.Random(83)
+    for _ in range(3):
+        a, b = ({rnd.randrange(12) for _ in range(7)} for _ in range(2))
+        x, y = (spark.createDataFrame([(i,) for i in s], "doc_id long") for s in (a, b))
+        assert ids(L.intersect(x, y)) == sorted(a & b) and ids(L.union(x, y)) == sorted(a | b) and ids(L.difference(x, y)) == sorted(a - b)
+        assert all(L.contains(x, i) == (i in a) for i in (0, 5, 11))
+
+
+def test_groups_as_by_hand(docs_of):
+    rnd = random.Random(84)
+    docs = {}
+    for i in range(90):
+        docs[f"g{i}"] = {"item_id": rnd.choice(["hive1", "hive2"]), "type": rnd.choice(["feed", "smoke"]), "at": rnd.randrange(1000), "mood": rnd.choice(["calm", "cross"])}
+        for k in rnd.sample(list(docs[f"g{i}"]), rnd.choice([0, 0, 0, 1])):
+            del docs[f"g{i}"][k]
+    d = docs_of(docs)
+    event = lambda x: all(k in x for k in ("item_id", "type", "at"))
+    for item, attr, value in (("hive1", "mood", "calm"), ("hive2", "type", "smoke"), ("hive3", "mood", "calm"), ("hive1", "mood", "none")):
+        members = [i for i, x in docs.items() if x.get("item_id") == item and x.get(attr) == value]
+        at = [docs[i]["at"] for i in members if event(docs[i])]
+        assert tuple(R.group_count(d, item, attr, value).first()) == (len(members), min(at, default=0), max(at, default=0))
+        assert ids(R.group_members(d, item, attr, value)) == sorted(members)
+    last = defaultdict(int)
+    for x in filter(event, docs.values()):
+        last[x["item_id"], x["type"]] = max(last[x["item_id"], x["type"]], x["at"])
+    assert {(r[0], r[1]): r[2] for r in R.last_seen(d).collect()} == last
+    newest = max(last.values())
+    assert {(r[0], r[1]): r[3] for r in R.absences(d, 3).collect()} == {k: newest - v for k, v in last.items() if newest - v > 3}
 
 
 def test_stats(docs_of):
-    d = docs_of({str(i): {"km": i * 10} for i in range(1, 6)} | {"t": {"km": "10"}})
-    path, n, mean, m2, low, high = R.stats(d, "km").first()
-    assert (path, n, low, high) == ("km", 5, 10.0, 50.0) and abs(mean - 30) < 1e-9 and abs(m2 - 1000) < 1e-9
-
-
-def test_last_seen(docs_of):
-    d = docs_of({str(at): {"item_id": "i", "type": "inspect", "at": at} for at in (1000, 2000, 500)} | {"o": {"item_id": "j", "type": "inspect", "at": 9000}})
-    assert sorted(map(tuple, R.last_seen(d).collect())) == [("i", "inspect", 2000), ("j", "inspect", 9000)]
-    assert [tuple(r) for r in R.absences(d, 5000).collect()] == [("i", "inspect", 2000, 7000)]
+    values = [4, 8, 15, 16, 23, 42, -7.5]
+    d = docs_of({str(i): {"depth": v} for i, v in enumerate(values)} | {"t": {"depth": "9"}, "n": {"depth": None}})
+    path, n, mean, m2, low, high = R.stats(d, "depth").first()
+    middle = sum(values) / len(values)
+    assert (path, n, low, high) == ("depth", 7, -7.5, 42.0) and math.isclose(mean, middle) and math.isclose(m2, sum((v - middle) ** 2 for v in values))

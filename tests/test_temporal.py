@@ -1,4 +1,5 @@
 import random
+from collections import defaultdict
 
 import pytest
 
@@ -11,34 +12,54 @@ def table(spark, events):
     return FactTable(df, "id", item_id="item", type="type", at="at")
 
 
-def clusters(times, window, least):
+def clusters(log, window, least):
+    """Lists of (at, id), by looking ahead from every event."""
     out, i = [], 0
-    while i < len(times):
+    while i < len(log):
         j = i
-        while j + 1 < len(times) and (window <= 0 or times[j + 1] - times[i] <= window):
+        while j + 1 < len(log) and (window <= 0 or log[j + 1][0] - log[i][0] <= window):
             j += 1
         if j - i + 1 >= least:
-            out.append((times[i], times[j], j - i + 1))
+            out.append(log[i : j + 1])
             i = j + 1
         else:
             i += 1
     return out
 
 
-@pytest.mark.parametrize(("times", "window", "least", "sizes"), [([0, 3, 5], 10, 3, [3]), ([0, 5], 100, 3, []), ([0, 10, 20], 5, 3, []), ([0, 1, 2, 100, 101, 102], 5, 3, [3, 3]), ([0, 1, 2, 3, 4], 10, 3, [5]), ([0, 1, 2, 3, 100, 101, 102], 10, 3, [4, 3]), ([0, 10**6, 5 * 10**9], 0, 2, [3]), ([0, 100, 200], 1, 1, [1, 1, 1])])
-def test_clusters(spark, times, window, least, sizes):
-    got = T.cluster_query(table(spark, [("i", "t", t) for t in times]), window, least).orderBy("first_at").collect()
-    assert [r["n"] for r in got] == sizes
+def steady(rnd, n):
+    """A log without any gap, and one with ties."""
+    return [("steady", "t", 5 * i) for i in range(n)] + [("ties", "t", rnd.randrange(n // 10)) for _ in range(n)]
 
 
-def test_clusters_as_by_brute_force(spark):
-    rnd = random.Random(1)
-    events = [(rnd.choice("abc"), rnd.choice("xy"), rnd.randrange(300)) for _ in range(400)]
+@pytest.mark.parametrize(("window", "least"), [(0, 1), (0, 50), (-3, 2), (1, 1), (3, 2), (10, 5), (25, 30), (40, 9), (10**6, 3), (5, 10**6)])
+def test_clusters_and_members_as_by_brute_force(spark, window, least):
+    rnd = random.Random(window * 1000 + least)
+    events = [(rnd.choice("abc"), rnd.choice("xy"), rnd.randrange(300)) for _ in range(300)] + steady(rnd, 200)
     t = table(spark, events)
-    for window, least in ((3, 2), (10, 5), (1, 1), (25, 30)):
-        got = sorted((r["item_id"], r["first_at"], r["last_at"], r["n"]) for r in T.cluster_query(t, window, least).collect())
-        want = sorted((i, *c) for i in "abc" for c in clusters(sorted(a for k, _, a in events if k == i), window, least))
-        assert got == want
+    log = defaultdict(list)
+    for i, (item, _, at) in enumerate(events):
+        log[item].append((at, i))
+    want = {item: clusters(sorted(x), window, least) for item, x in log.items()}
+    got = sorted((r["item_id"], r["cluster"], r["first_at"], r["last_at"], r["n"]) for r in T.cluster_query(t, window, least).collect())
+    assert got == sorted((item, n, c[0][0], c[-1][0], len(c)) for item, x in want.items() for n, c in enumerate(x))
+    members = sorted((r["item_id"], r["cluster"], r["at"], r["doc_id"]) for r in T.cluster_members(t, window, least).collect())
+    assert members == sorted((item, n, at, i) for item, x in want.items() for n, c in enumerate(x) for at, i in c)
+
+
+def test_clusters_of_some_types_and_items(spark):
+    events = [("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", "x", 1), ("b", "x", 2)]
+    t = table(spark, events)
+    assert [(r["item_id"], r["n"]) for r in T.cluster_query(t, 5, 2, ["x"], "a").collect()] == [("a", 2)]
+    assert T.cluster_members(t, 5, 2, ["z"]).count() == 0 and T.cluster_members(t, 5, 2, ["x"], "b").count() == 2
+
+
+def test_a_long_steady_log(spark):
+    df = spark.range(300_000).selectExpr("id", "'i' item", "'t' type", "id * 10 at")
+    t = FactTable(df, "id", item_id="item", type="type", at="at")
+    got = T.cluster_query(t, 1000, 3).selectExpr("count(*) c", "sum(n) n", "max(n) high").first()
+    whole, rest = divmod(300_000, 101)  # an event and the hundred that are at most 1000 after it
+    assert (got["c"], got["n"], got["high"]) == (whole + (rest >= 3), 101 * whole + (rest if rest >= 3 else 0), 101)
 
 
 def first_match(log, steps, window):
@@ -77,6 +98,7 @@ def test_items_and_no_steps(spark):
 
 
 def test_window_query(docs_of):
-    d = docs_of({"a": {"item_id": "i1", "type": "inspect", "at": 1000}, "b": {"item_id": "i1", "type": "repair", "at": "1970-01-01T00:00:00.000002Z"}, "c": {"item_id": "i1", "type": "inspect", "at": 3000}, "n": {"item_id": "i1", "type": "inspect"}})
-    assert [r["at"] for r in T.window_query(d, "i1").collect()] == [1000, 2000, 3000]
-    assert T.window_query(d, "i1", ["inspect"]).count() == 2 and T.window_query(d, "i2").count() == 0
+    log = {"w1": ("bee", "hatch", 40), "w2": ("bee", "dance", "1970-01-01T00:00:00.00000005Z"), "w3": ("bee", "hatch", 60), "w4": ("wasp", "hatch", 1)}
+    d = docs_of({k: {"item_id": i, "type": t, "at": at} for k, (i, t, at) in log.items()} | {"w5": {"item_id": "bee", "type": "dance"}})
+    assert [(r["at"], r["doc_id"]) for r in T.window_query(d, "bee").collect()] == [(40, "w1"), (50, "w2"), (60, "w3")]
+    assert T.window_query(d, "bee", ["dance"], window=7).count() == 1 and T.window_query(d, "fly").count() == 0
