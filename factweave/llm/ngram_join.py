@@ -486,7 +486,8 @@ def similarity_classes(docs: DataFrame, k: int = K, percent: int = PERCENT, widt
                     cid.append(want), data.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(data, pa.binary())], names=["cid", "set"])
 
-    texts = docs.join(clustered.select("cid", "chk", "rep"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "chk", "text")
+    # a merge join at every size: it spills, and the classes that take part are too many to be sent to all
+    texts = docs.join(clustered.select("cid", "chk", "rep").hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cid", "chk", "text")
     sets = staged(texts.mapInArrow(make, "cid long, set binary").dropDuplicates(["cid"]), "sets")
 
     clustered = clustered.select("cid", "n", "label", F.lit(False).alias("core"))
