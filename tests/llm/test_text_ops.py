@@ -5,6 +5,7 @@ import string
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 
 from factweave.llm import chat, decontaminate, line_dedup, pii, quality, secrets
 
@@ -164,6 +165,39 @@ def test_quality_depleted_and_odd(docs, odd):
     assert quality.quality(docs(odd).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spare_first", [True, False])
+@pytest.mark.parametrize("copies_as_one", [True, False])
+def test_quality_counts_documents(docs, copies_as_one, spare_first):
+    rnd = random.Random(12)
+    # copies of one text, a doc_id in two rows and with two texts, texts without doc_id, hosts that share lines
+    rows = corpus(9, 90) + [(200 + i, prose(rnd, 30), "src0") for i in range(2)]
+    rows += [(300 + i, rows[-1][1], "src0") for i in range(12)] + [(400 + i, rows[-1][1], "src1") for i in range(10)]
+    rows += [rows[0], (rows[1][0], rows[2][1], rows[1][2]), (None, rows[3][1], "src1"), (None, rows[4][1], None)]
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+    held, first_id = defaultdict(set), {}
+    order = lambda i: 2**63 - 1 if i is None else i
+    for i, t, h in rows:
+        first_id[t, h] = min(order(i), first_id.get((t, h), 2**63))
+    who = lambda i, t, h: (first_id[t, h], t) if copies_as_one else (order(i),)
+    for i, t, h in rows:
+        for x in t.split("\n"):
+            held[h, key(x)].add(who(i, t, h))
+    want = []
+    for i, t, h in rows:
+        gone = [x for x in t.split("\n") if len(held[h, key(x)]) > 10 and not (spare_first and who(i, t, h) == min(held[h, key(x)]))]
+        want.append((order(i), len(t.split()), sum(len(x.split()) for x in gone)))
+    got = quality.quality(docs(rows), copies_as_one=copies_as_one, spare_first=spare_first).collect()
+    assert sorted((order(r["doc_id"]), r["n_words"], r["n_boiler_words"]) for r in got) == sorted(want)
+    lost = {r["doc_id"] for r in got if 300 <= (r["doc_id"] or 0) < 500 and not r["kept"]}
+    assert lost == (set() if copies_as_one else set(range(300, 312)))  # 201 and its 12 copies; 10 in the other host
+
+
+def test_quality_counts_documents_by_default(docs):
+    text = prose(random.Random(13), 30)
+    got = quality.quality(docs([(i, text) for i in range(11)] + [(100 + i, text, "src1") for i in range(10)]))
+    assert {r["doc_id"]: r["kept"] for r in got.collect()} == {i: i == 0 for i in range(11)} | {100 + i: True for i in range(10)}
+
+
 # secrets
 
 
